@@ -1,10 +1,11 @@
 """The queries of this folder and their SQL."""
 
-from leafmill.llm import chat, quality, shards, token_counts
+from leafmill.llm import chat, pieces, quality, shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_sharding": shards.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
 }
