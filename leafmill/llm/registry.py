@@ -1,10 +1,11 @@
 """The queries of this folder and their SQL."""
 
-from leafmill.llm import chat, mixture, near_dups, neighbours, pieces, quality, secrets, shards, token_counts
+from leafmill.llm import chat, mixture, near_dups, neighbours, passages, pieces, quality, secrets, shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixture.op2_mixing,
+    "op3_repeated_passages": passages.op3_repeated_passages,
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op5_near_duplicates": near_dups.op5_near_duplicates,
     "op6_secret_scan": secrets.op6_secret_scan,
