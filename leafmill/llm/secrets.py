@@ -110,10 +110,16 @@ def features(x: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
+def exploded(d: DataFrame, *with_: str) -> DataFrame:
+    """A row ``f`` per element of ``found``.  (A plain explode has its non-empty test moved below the projections,
+    where it computes ``found`` again.)"""
+    return d.select(*with_, F.explode_outer("found").alias("f")).where(F.col("f").isNotNull())
+
+
 def findings(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """A row per candidate: doc_id, source, start (code points, from 0), kind, marked, candidate, before, after."""
     d = located(columns_of(docs, doc_id="doc_id", text="text", source="source"), kinds)
-    d = d.select("doc_id", "source", F.explode("found").alias("f")).select("doc_id", "source", "f.*")
+    d = exploded(d, "doc_id", "source").select("doc_id", "source", "f.*")
     names, marks = F.array(*[F.lit(k.name) for k in kinds]), F.array(*[F.lit(k.marked) for k in kinds])
     return d.select("doc_id", "source", "start", F.get(names, F.col("rank")).alias("kind"), F.get(marks, F.col("rank")).alias("marked"), "candidate", "before", "after")
 
@@ -200,5 +206,5 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def op6_secret_scan(spark, sf_dir):
-    found = scan(table(spark, sf_dir, "documents")).select("doc_id", F.explode("found").alias("f"))
+    found = exploded(scan(table(spark, sf_dir, "documents")), "doc_id")
     return found.select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.length").cast("long").alias("length"), "f.kind", F.round("f.p", 6).alias("score"), F.col("f.secret").alias("is_secret"))
