@@ -1,4 +1,7 @@
 """Every query of this library by name, and its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from leafmill.plans import docs, series  # noqa: F401
+from leafmill.plans.series import O as ORACLES
+from leafmill.plans.series import Q as QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
