@@ -9,7 +9,7 @@ coordinate it shares and skipped in all others.
 - Each document is first compared with the smallest documents of its lists (those it collides with most), which
   costs one or two pairs a document however long a list is, and joins most of a large group.
 - What is left are lists whose documents are still in different components.  Those outside a list's largest
-  component meet the whole list in blocks of bounded size; signatures are compared first, and only where
+  component meet those of the list that have a fitting size, in blocks of bounded size; signatures are compared first, and only where
   pairs above the match threshold remain the texts follow, are compared exactly, and each block returns the
   links that join components - never all pairs.
 """
@@ -29,8 +29,8 @@ from leafmill.llm.components import components
 from leafmill.llm.shingles import mixed, shingle_sets
 
 COORDINATES = 64
-#: Documents of a list that meet in one block.
-BLOCK = 1024
+#: Documents of a list that meet in one block, and shingles that they have together.
+BLOCK, BLOCK_SHINGLES = 2048, 1_500_000
 #: Leaders that a document is compared with at first.
 LEADERS = 2
 
@@ -53,7 +53,8 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig (null where the set is empty)."""
+    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig and low (the whole signature and its lower
+    halves; null where the set is empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -62,12 +63,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part["text"].tolist(), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
+                low: list = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                    sig[i] = row.tobytes()
+                    sig[i], low[i] = row.tobytes(), row.astype(np.uint16).tobytes()
                 print_ = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64))) if len(s) else (0, 0) for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "f1": [p[0] for p in print_], "f2": [p[1] for p in print_], "sig": sig})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "f1": [p[0] for p in print_], "f2": [p[1] for p in print_], "sig": sig, "low": low})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, low binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -90,15 +92,17 @@ def matches(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def pairs_of(sig: np.ndarray, label: np.ndarray, asks: np.ndarray, coordinate: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(sig: np.ndarray, g: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the pairs of one list that are above the threshold, in different components, and share no
-    earlier coordinate; with their matches.  Only rows in ``asks`` look for others."""
+    earlier coordinate; with their matches.  Only rows that ask look for others; two rows of the upper size
+    meet in another group."""
+    label, asks, upper, coordinate = g["label"].to_numpy(), g["asks"].to_numpy(), g["upper"].to_numpy(), int(g["c"].iloc[0])
     rows = np.flatnonzero(asks)
     q, t, n = [], [], []
     for a in range(0, len(rows), 256):
         own = rows[a : a + 256]
         m = matches(sig[own], sig)
-        i, j = np.nonzero((m >= least) & (label[own, None] != label[None, :]))
+        i, j = np.nonzero((m >= least) & (label[own, None] != label[None, :]) & ~(upper[own, None] & upper[None, :]))
         n.append(m[i, j])
         q.append(own[i])
         t.append(j)
@@ -133,7 +137,7 @@ def by_group(keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame | None]
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,22 +151,31 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def unresolved(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of lists with more than one component, dealt into groups (c, v, block, ask): every document
-    once as a target, those outside the largest component of the list in every block as asking ones."""
+def unresolved(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Postings of lists with more than one component, dealt into groups (c, v, size, block, chunk).
+
+    Sets of which one is smaller than ``percent`` of the other can't be similar, so a list falls into classes of
+    sizes: a group holds a class and, as upper rows, the next larger one.  Every document is once a target, those
+    outside the largest component are in every block as asking ones."""
     p = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    sizes = p.groupBy("c", "v", "label").agg(F.count("*").alias("n")).groupBy("c", "v")
-    lists = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    lists = lists.select("c", "v", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("chunks"))
-    p = p.join(lists, ["c", "v"])
+    own = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("int")
+    p = p.withColumn("own", own).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("upper", F.col("own") > F.col("size"))
+    key = ["c", "v", "size"]
+    sizes = p.groupBy(*key, "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.max((~F.col("upper")).cast("int")).alias("lower")).groupBy(*key)
+    lists = sizes.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("labels"), F.max("lower").alias("lower"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1 and lower = 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES)).cast("int")
+    rest_share = (F.col("n") - F.col("top.n")) / F.col("n")
+    lists = lists.select(*key, F.col("top.label").alias("top"), blocks.alias("blocks"), F.greatest(F.lit(1), F.ceil(blocks * rest_share)).cast("int").alias("chunks"))
+    p = p.join(lists, key)
     h = F.xxhash64("doc_id")
-    rest = F.col("label") != F.col("top")
-    target = p.select("c", "v", "doc_id", "label", F.pmod(h, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), (rest & (F.col("blocks") * F.col("chunks") == 1)).alias("asks"))
-    asking = p.where(rest & (F.col("blocks") * F.col("chunks") > 1)).select("c", "v", "doc_id", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+    rest, single = F.col("label") != F.col("top"), F.col("blocks") * F.col("chunks") == 1
+    rows = [*key, "doc_id", "label", "upper"]
+    target = p.select(*rows, F.pmod(h, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), (rest & single).alias("asks"))
+    asking = p.where(rest & ~single).select(*rows, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
     return target.unionByName(asking)
 
 
-GROUP = ["c", "v", "block", "chunk"]
+GROUP = ["c", "v", "size", "block", "chunk"]
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -177,15 +190,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     sketch = stage(sketches(d, k), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = stage(full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").groupBy("doc_id").agg(F.min("sig").alias("sig")), "reps")
+    reps = stage(full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").groupBy("doc_id").agg(F.min(F.struct("sig", "low", "n_shingles")).alias("s")).select("doc_id", "s.*"), "reps")
 
     def coordinates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), -1)[:, :prefix]
-                yield pd.DataFrame({"c": np.tile(np.arange(prefix, dtype=np.int32), len(b)), "v": sig.ravel().astype(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), prefix)})
+                yield pd.DataFrame({"c": np.tile(np.arange(prefix, dtype=np.int32), len(b)), "v": sig.ravel().astype(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), prefix), "n_shingles": np.repeat(b["n_shingles"].to_numpy(), prefix)})
 
-    posted = reps.mapInPandas(coordinates, "c int, v long, doc_id long")
+    posted = reps.select("doc_id", "n_shingles", "sig").mapInPandas(coordinates, "c int, v long, doc_id long, n_shingles int")
     lists = posted.groupBy("c", "v").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1").drop("n")
     postings = stage(posted.join(lists, ["c", "v"]), "postings")
     # leaders that a document meets in a tenth of its lists at least, the most frequent first
@@ -194,24 +207,24 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     links = stage(verified(ranked.select("a", "b"), d, k, percent), "first")
     labels = components(links)
 
-    left = unresolved(postings.select("c", "v", "doc_id"), labels)
-    half = reps.select("doc_id", "sig")
+    left = unresolved(postings.select("c", "v", "doc_id", "n_shingles"), labels, percent)
+    half = reps.select("doc_id", "low")
+    row = [*GROUP, "doc_id", "label", "upper", "asks"]
 
     def flag(g: pd.DataFrame) -> pd.DataFrame | None:
         if not g["asks"].any():
             return None
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
-        q, t, _ = pairs_of(sig, g["label"].to_numpy(), g["asks"].to_numpy(), int(g["c"].iloc[0]), least)
-        return g.iloc[np.unique(np.r_[q, t])][[*GROUP, "doc_id", "label", "asks"]] if len(q) else None
+        q, t, _ = pairs_of(np.frombuffer(b"".join(g["low"]), np.uint16).reshape(len(g), -1), g, least)
+        return g.iloc[np.unique(np.r_[q, t])][row] if len(q) else None
 
-    kind = "c int, v long, block int, chunk int, doc_id long, label long, asks boolean"
-    meet = left.join(half, "doc_id").select(*GROUP, "doc_id", "label", "asks", "sig").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    kind = "c int, v long, size int, block int, chunk int, doc_id long, label long, upper boolean, asks boolean"
+    meet = left.join(half, "doc_id").select(*row, "low").repartition(*GROUP).sortWithinPartitions(*GROUP)
     flagged = stage(meet.mapInPandas(by_group(GROUP, flag), kind), "flagged")
 
     def link(g: pd.DataFrame) -> pd.DataFrame | None:
         sets = shingle_sets(g["text"].tolist(), k)
-        ids, sig = g["doc_id"].to_numpy(), signatures(sets)
-        q, t, n = pairs_of(sig, g["label"].to_numpy(), g["asks"].to_numpy(), int(g["c"].iloc[0]), least)
+        ids = g["doc_id"].to_numpy()
+        q, t, n = pairs_of(signatures(sets).astype(np.uint16), g, least)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -228,7 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
                 out.append((ids[q[i]], ids[t[i]]))
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
-    again = flagged.join(d, "doc_id").select(*flagged.columns, "text").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    # texts go by shuffle at every size: the flagged rows grow with the input and may not be broadcast
+    again = flagged.hint("merge").join(d, "doc_id").select(*row, "text").repartition(*GROUP).sortWithinPartitions(*GROUP)
     more = again.mapInPandas(by_group(GROUP, link), "a long, b long")
     found = components(links.unionByName(more))
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("component"))
