@@ -27,10 +27,10 @@ _TOKEN = re.compile(r'\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|("(?:[^"]|"")*")|
 
 
 class Typed:
-    """A column and whether it is a number (n), text (s) or truth value (b)."""
+    """A column and whether it is a number (n), text (s) or truth value (b); ``value`` if written as a number."""
 
-    def __init__(self, c: Column, kind: str):
-        self.c, self.kind = c, kind
+    def __init__(self, c: Column, kind: str, value: float | None = None):
+        self.c, self.kind, self.value = c, kind, value
 
     def number(self) -> Column:
         return {"n": lambda: self.c, "s": lambda: sheet.number(self.c), "b": lambda: self.c.cast("double")}[self.kind]()
@@ -93,7 +93,7 @@ class _Parser:
     def signed(self) -> Typed:
         if op := self.take("+", "-"):
             x = self.signed()
-            return Typed(-x.number() if op == "-" else x.number(), "n")
+            return Typed(-x.number() if op == "-" else x.number(), "n", x.value and (-x.value if op == "-" else x.value))
         x = self.atom()
         while self.take("%"):
             x = Typed(x.number() / 100, "n")
@@ -108,7 +108,7 @@ class _Parser:
             raise ValueError("a value is missing")
         kind, value = self.tokens.pop(0)
         if kind == "n":
-            return Typed(F.lit(float(value)), "n")
+            return Typed(F.lit(float(value)), "n", float(value))
         if kind == "s":
             return Typed(F.lit(value[1:-1].replace('""', '"')), "s")
         if self.take("("):
@@ -171,7 +171,12 @@ def called(name: str, args: list[Typed | None]) -> Typed:
         return Typed(reduce(lambda x, y: x & y if name == "AND" else x | y, [a.truth() for a in given]), "b")
     if name == "CONCAT":
         return Typed(F.concat(*[a.text() for a in given]), "s")
-    digits = lambda: int(float(given[1].c._jc.toString())) if len(given) > 1 else 0
+
+    def digits() -> int:
+        if len(given) > 1 and given[1].value is None:
+            raise ValueError("digits have to be written as a number")
+        return int(given[1].value) if len(given) > 1 else 0
+
     one = {
         "ROUND": lambda: Typed(sheet.round_half_away(n(0), digits()), "n"),
         "ROUNDUP": lambda: Typed(sheet.round_up(n(0), digits()), "n"),

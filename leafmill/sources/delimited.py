@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Windows-1252 is ISO-8859-1 but for these bytes
+_CP1252 = tuple(zip(*[(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]))
+_CP1252 = ("".join(_CP1252[0]), "".join(_CP1252[1]))
+
+
 def delimiter(first_line: Column) -> Column:
     """``;`` if it outnumbers ``,`` and tabs don't outnumber it, else a tab if there are more of them than commas."""
     n = lambda c: F.length(first_line) - F.length(F.replace(first_line, F.lit(c), F.lit("")))
@@ -15,7 +20,7 @@ def delimiter(first_line: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 if they are valid, else as Windows-1252; a byte-order mark is dropped."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), *_CP1252))
     return F.regexp_replace(text, "^﻿", "")
 
 
