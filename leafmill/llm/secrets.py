@@ -137,7 +137,7 @@ class Ready:
         return self.x[name]
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 5, seed: int = 11) -> Callable[[Callable[[str], Column]], Column]:
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 6, seed: int = 11) -> Callable[[Callable[[str], Column]], Column]:
     """A function from the columns of a finding to its probability of being a secret.
 
     ``labelled``: findings with ``label`` (0 or 1).  At most ``rows`` distinct ones train the forest, those with
@@ -150,7 +150,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: i
         constant = labels.pop() if labels else 1.0
         return lambda x: F.lit(constant)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(part)
-    forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=5).fit(ready)
+    forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
     roots = [forest._java_obj.trees()[i].rootNode() for i in range(trees)]
 
     def written(node, f: list[Column]) -> Column:
