@@ -204,3 +204,72 @@ def shared_boxes(boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
         return g.assign(component=[top(i) for i in range(len(g))])
 
     return boxes.groupBy(*PAGE).applyInPandas(merge, ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", component int")
+
+
+def reading_order(lines: DataFrame) -> DataFrame:
+    """``place`` of each line (doc_id, page, line, x0, x1, y, column: I left, D right, C across, U single): lines across
+    both columns part a page into bands; in a band the left column comes before the right one."""
+    w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc(), "x0", "line").rowsBetween(Window.unboundedPreceding, 0)
+    across = F.col("column").isin("C", "U")
+    d = lines.withColumn("_band", F.sum(across.cast("int")).over(w))
+    side = F.when(across, 0).when(F.col("column") == "I", 1).otherwise(2)
+    order = Window.partitionBy(*PAGE).orderBy("_band", side, F.col("y").desc(), "x0", "line")
+    return d.withColumn("place", F.row_number().over(order) - 1).drop("_band")
+
+
+def segments(fragments: DataFrame, gap: float = 1.5) -> DataFrame:
+    """Adds ``segment`` to the fragments of a line: a new one after a gap above ``gap`` of the larger size of the open
+    segment and the fragment.  The open segment's size grows as it is walked, so a page is a group."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        out, line, end, size, n = [], None, 0.0, 0.0, 0
+        g = g.sort_values(["line", "x", "frag_no"])
+        for ln, x, w, s in g[["line", "x", "width", "size"]].itertuples(index=False):
+            if ln != line or x - end > gap * max(size, s):
+                n, size, end = (n + 1 if ln == line else 0), s, x + w
+            line, size, end = ln, max(size, s), max(end, x + w)
+            out.append(n)
+        return g.assign(segment=out)
+
+    return fragments.groupBy(*PAGE).applyInPandas(walk, ", ".join(f"{n} {t}" for n, t in fragments.dtypes) + ", segment int")
+
+
+def text_boxes(segs: DataFrame, last: int = 40) -> DataFrame:
+    """Adds ``box`` to segments (doc_id, page, seg_no, x0, x1, y, size): each joins the nearest open box above it among the
+    ``last`` ones - 0.5 to 2.2 lines off, of a like size, and aligned left, in the centre or right - or opens one."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["y", "x0", "seg_no"], ascending=[False, True, True])
+        boxes: list[list[float]] = []  # x0, x1, y, size of the lowest segment
+        out = []
+        for x0, x1, y, size in g[["x0", "x1", "y", "size"]].itertuples(index=False):
+            best = None
+            for i in range(len(boxes) - 1, max(-1, len(boxes) - 1 - last), -1):
+                b0, b1, by, bs = boxes[i]
+                tol = 0.6 * size
+                aligned = abs(x0 - b0) <= tol or abs(x1 - b1) <= tol or abs((x0 + x1) - (b0 + b1)) <= 2 * tol
+                if 0.5 <= (by - y) / size <= 2.2 and 0.75 <= size / bs <= 1.3 and aligned and (best is None or by < boxes[best][2]):
+                    best = i
+            if best is None:
+                best = len(boxes)
+                boxes.append([x0, x1, y, size])
+            else:
+                boxes[best] = [x0, x1, y, size]
+            out.append(best)
+        return g.assign(box=out)
+
+    return segs.groupBy(*PAGE).applyInPandas(walk, ", ".join(f"{n} {t}" for n, t in segs.dtypes) + ", box int")
+
+
+def gutter(lines: DataFrame, most: float = 0.8) -> DataFrame:
+    """doc_id, page, g0, g1: the widest stretch inside a page's text that at most a fifth of the lines cover, found by a
+    sweep over where fragments (x0, x1) begin and end; no row where there is none."""
+    n = lines.groupBy(*PAGE).agg(F.count_distinct("line").alias("_n"), F.min("x0").alias("_l"), F.max("x1").alias("_r"))
+    e = lines.select(*PAGE, F.explode(F.array(F.struct(F.col("x0").alias("at"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("at"), F.lit(-1).alias("d")))).alias("e")).groupBy(*PAGE, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(*PAGE).orderBy("at")
+    d = e.withColumn("_open", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_to", F.lead("at").over(w)).join(n, PAGE)
+    d = d.withColumn("_free", (F.col("_open") <= (1 - most) * F.col("_n")) & F.col("_to").isNotNull())
+    d = d.withColumn("_run", F.sum((~F.col("_free")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_free")
+    runs = d.groupBy(*PAGE, "_run").agg(F.min("at").alias("g0"), F.max("_to").alias("g1"), F.first("_l").alias("_l"), F.first("_r").alias("_r"))
+    runs = runs.where((F.col("g0") > F.col("_l")) & (F.col("g1") < F.col("_r")))
+    return runs.groupBy(*PAGE).agg(F.max_by(F.struct("g0", "g1"), F.struct(F.col("g1") - F.col("g0"), -F.col("g0"))).alias("g")).select(*PAGE, "g.g0", "g.g1")

@@ -105,3 +105,36 @@ def test_shared_strings_and_documents(spark, tmp_path):
     assert (p.style, p.text) == ("H1", "Hey\t")
     kinds = spark.read.format("binaryFile").load(str(tmp_path)).select(office.kind_of(F.col("content"), F.col("path")).alias("k")).collect()
     assert {r.k for r in kinds} == {"xlsx", "docx"}
+
+
+def test_two_columns(spark):
+    rows = [(1, 1, i, 50.0, 190.0, 600.0 - 14 * i, "I") for i in range(1, 5)] + [(1, 1, 10 + i, 210.0, 350.0, 600.0 - 14 * i, "D") for i in range(1, 5)] + [(1, 1, 0, 50.0, 350.0, 610.0, "C")]
+    d = spark.createDataFrame(rows, "doc_id long, page int, line int, x0 double, x1 double, y double, column string")
+    assert [r.line for r in tables.reading_order(d).orderBy("place").collect()] == [0, 1, 2, 3, 4, 11, 12, 13, 14]
+    (g,) = tables.gutter(d).collect()
+    assert (g.g0, g.g1) == (190.0, 210.0)
+
+
+def test_segments_and_boxes(spark):
+    d = spark.createDataFrame([(1, 1, i, 0, x, 20.0, 10.0) for i, x in enumerate((0.0, 22.0, 80.0))], "doc_id long, page int, frag_no int, line int, x double, width double, size double")
+    assert [r.segment for r in tables.segments(d).orderBy("frag_no").collect()] == [0, 0, 1]
+    s = spark.createDataFrame([(1, 1, 0, 50.0, 150.0, 500.0, 10.0), (1, 1, 1, 50.0, 140.0, 488.0, 10.0), (1, 1, 2, 300.0, 390.0, 488.0, 10.0), (1, 1, 3, 50.0, 150.0, 400.0, 10.0)], "doc_id long, page int, seg_no int, x0 double, x1 double, y double, size double")
+    assert [r.box for r in tables.text_boxes(s).orderBy("seg_no").collect()] == [0, 0, 1, 2]
+
+
+def test_styles(spark):
+    from leafmill.operators import styles
+
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "id string, based_on string")
+    props = spark.createDataFrame([("a", "size", "10"), ("b", "size", "12"), ("a", "bold", "1"), ("x", "size", "9")], "style string, prop string, value string")
+    got = {(r.id, r.prop): r.value for r in styles.inherited(tree, props).collect()}
+    assert got == {("a", "size"): "10", ("b", "size"): "12", ("c", "size"): "12", ("a", "bold"): "1", ("b", "bold"): "1", ("c", "bold"): "1", ("x", "size"): "9", ("y", "size"): "9"}
+    items = spark.createDataFrame([(1, i, lv) for i, lv in enumerate((0, 1, 1, 0, 1, 2))], "k int, o int, lv int")
+    assert [r.label for r in styles.level_counters(items, ["k"], "o", "lv", 3).orderBy("o").collect()] == ["1", "1.1", "1.2", "2", "2.1", "2.1.1"]
+
+
+def test_entities_and_paths(spark):
+    from leafmill.functions import drawing
+
+    row = spark.range(1).select(drawing.unescaped(F.lit("a &amp; b &#233;&#x1F600; &lt;")).alias("a"), drawing.joined_path(F.lit("ppt/slides"), F.lit("../media/./i.png")).alias("b")).first()
+    assert (row.a, row.b) == ("a & b é😀 <", "ppt/media/i.png")
