@@ -163,7 +163,7 @@ def search(ids: np.ndarray, x: np.ndarray, index: Index, qid: np.ndarray, q: np.
             names = np.concatenate([best_id[rows], np.broadcast_to(ids[a:b], score.shape)], axis=1)
             top = np.lexsort((names, -merged), axis=1)[:, :k]
             best[rows], best_id[rows] = np.take_along_axis(merged, top, 1), np.take_along_axis(names, top, 1)
-    who, col = np.nonzero(~np.isneginf(best))
+    who, col = np.nonzero(~np.isneginf(best) & (best >= bound[:, None]))  # what is below the known k-th can't be among them
     return who, best_id[who, col], best[who, col]
 
 

@@ -1,5 +1,5 @@
 import corpus_pipeline as c
-from leafmill.llm import near_dups, quality, secrets
+from leafmill.llm import quality, secrets
 from tests.helpers import SMALL
 from tests.llm.test_operators import brute, measured
 
