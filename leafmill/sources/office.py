@@ -144,3 +144,38 @@ def slide_texts(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "part", "box_no", "text"])
 
     return parts(spark, path, r"ppt/slides/slide\d+\.xml").mapInPandas(read, "path string, part string, box_no int, text string")
+
+
+def protection(content):
+    """What a PDF file lets one do, by the names in its bytes: open, restricted or password, or invalid."""
+    text = F.decode(content, "ISO-8859-1")
+    encrypted = text.contains("/Encrypt")
+    return F.when(~F.left(text, F.lit(1024)).contains("%PDF-"), "invalid").when(~encrypted, "open").otherwise("protected")
+
+
+def exif_orientation(files: DataFrame) -> DataFrame:
+    """path, orientation (1 to 8) of JPEG files (path, content); 1 where none is given."""
+    import struct
+
+    def read(data: bytes) -> int:
+        at = 2
+        while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
+            kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            body = data[at + 4 : at + 2 + size]
+            if kind == 0xE1 and body[:6] == b"Exif\0\0" and len(body) >= 14:
+                order = "<" if body[6:8] == b"II" else ">"
+                first = 6 + struct.unpack(order + "I", body[10:14])[0]
+                for i in range(struct.unpack(order + "H", body[first : first + 2])[0] if first + 2 <= len(body) else 0):
+                    entry = body[first + 2 + 12 * i : first + 14 + 12 * i]
+                    if len(entry) == 12 and struct.unpack(order + "H", entry[:2])[0] == 0x0112:
+                        return struct.unpack(order + "H", entry[8:10])[0]
+            if kind == 0xDA:
+                break
+            at += 2 + size
+        return 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "orientation": [read(c) for c in b["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, orientation int")

@@ -69,3 +69,42 @@ def workbooks(df: DataFrame, book: str, sheet: str, order: str, values: list[str
         return pd.DataFrame({"book": [str(g[book].iloc[0])], "content": [workbook(sheets)]})
 
     return df.groupBy(book).applyInPandas(one, "book string, content binary")
+
+
+def archives(df: DataFrame, archive: str, name: str, order: str, content: str) -> DataFrame:
+    """(archive, content): a zip per value of ``archive`` with its rows as members, stored as they are; a repeated name
+    gets `` (n)`` before its ending.  An archive has to fit in a task."""
+    k = F.row_number().over(Window.partitionBy(archive, name).orderBy(order))
+    stem, end = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+    d = df.withColumn("_name", F.when(k > 1, F.concat(stem, F.lit(" ("), k.cast("string"), F.lit(")"), end)).otherwise(F.col(name)))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for n, data in g.sort_values(order)[["_name", content]].itertuples(index=False):
+                z.writestr(n, data)
+        return pd.DataFrame({"archive": [str(g[archive].iloc[0])], "content": [out.getvalue()]})
+
+    return d.groupBy(archive).applyInPandas(one, "archive string, content binary")
+
+
+def document(blocks: list[tuple[str, str]]) -> bytes:
+    """A word document of (kind, text): p, h1 to h3, ul, ol."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    styles = {"h1": "Heading1", "h2": "Heading2", "h3": "Heading3", "ul": "ListBullet", "ol": "ListNumber"}
+    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val={quoteattr(styles[k])}/></w:pPr>" if k in styles else ""}<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for k, t in blocks)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def documents(df: DataFrame, book: str, order: str) -> DataFrame:
+    """(book, content): a word document per value of ``book`` from rows (kind, text)."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"book": [str(g[book].iloc[0])], "content": [document(list(g.sort_values(order)[["kind", "text"]].itertuples(index=False)))]})
+
+    return df.groupBy(book).applyInPandas(one, "book string, content binary")
