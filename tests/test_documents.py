@@ -138,3 +138,23 @@ def test_entities_and_paths(spark):
 
     row = spark.range(1).select(drawing.unescaped(F.lit("a &amp; b &#233;&#x1F600; &lt;")).alias("a"), drawing.joined_path(F.lit("ppt/slides"), F.lit("../media/./i.png")).alias("b")).first()
     assert (row.a, row.b) == ("a & b é😀 <", "ppt/media/i.png")
+
+
+def test_archives_documents_and_bytes(spark, tmp_path):
+    import io
+    import struct
+
+    d = spark.createDataFrame([("z", 1, "a.txt", b"1"), ("z", 2, "a.txt", b"2"), ("z", 3, "b", b"3")], "arc string, o int, name string, data binary")
+    (r,) = sinks.archives(d, "arc", "name", "o", "data").collect()
+    with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"a.txt": b"1", "a (2).txt": b"2", "b": b"3"}
+    blocks = spark.createDataFrame([("b", 1, "h1", "Title"), ("b", 2, "p", "x < y & z")], "book string, o int, kind string, text string")
+    (r,) = sinks.documents(blocks, "book", "o").collect()
+    (tmp_path / "w.docx").write_bytes(r.content)
+    assert [(p.style, p.text) for p in office.document_paragraphs(spark, str(tmp_path)).orderBy("par_no").collect()] == [("Heading1", "Title"), ("", "x < y & z")]
+    tiff = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0)
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(tiff)) + b"Exif\0\0" + tiff + b"\xff\xda\0\0"
+    files = spark.createDataFrame([("j", jpeg), ("n", b"\xff\xd8\xff\xda\0\0")], "path string, content binary")
+    assert {r.path: r.orientation for r in office.exif_orientation(files).collect()} == {"j": 6, "n": 1}
+    pdfs = spark.createDataFrame([(b"%PDF-1.4 x",), (b"%PDF-1.7 /Encrypt 5 0 R",), (b"hello",)], "c binary")
+    assert [r[0] for r in pdfs.select(office.protection(F.col("c"))).collect()] == ["open", "protected", "invalid"]
