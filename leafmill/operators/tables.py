@@ -273,3 +273,40 @@ def gutter(lines: DataFrame, most: float = 0.8) -> DataFrame:
     runs = d.groupBy(*PAGE, "_run").agg(F.min("at").alias("g0"), F.max("_to").alias("g1"), F.first("_l").alias("_l"), F.first("_r").alias("_r"))
     runs = runs.where((F.col("g0") > F.col("_l")) & (F.col("g1") < F.col("_r")))
     return runs.groupBy(*PAGE).agg(F.max_by(F.struct("g0", "g1"), F.struct(F.col("g1") - F.col("g0"), -F.col("g0"))).alias("g")).select(*PAGE, "g.g0", "g.g1")
+
+
+def joined_across_pages(pars: DataFrame) -> DataFrame:
+    """doc_id, page, par_no, text of paragraphs (doc_id, page, par_no, text, size) with those that a page break parts joined:
+    the first one of the next page goes on a like-sized last one that ends in a hyphen, or ends open while it starts small.
+
+    A joined paragraph keeps its first page, so it never reaches a third: in a run of breaks every other one joins."""
+    from leafmill.functions.text import ends_sentence, starts_lower
+
+    w = Window.partitionBy("doc_id").orderBy("page", "par_no")
+    d = pars.withColumn("_p", F.lag(F.struct("page", "text", "size")).over(w))
+    open_ = F.col("_p.text").endswith("-") | (~ends_sentence(F.col("_p.text")) & starts_lower(F.col("text")))
+    d = d.withColumn("_j", F.coalesce((F.col("page") == F.col("_p.page") + 1) & (F.abs(F.col("size") - F.col("_p.size")) <= 0.7) & open_, F.lit(False)))
+    d = d.withColumn("_run", F.sum((~F.col("_j")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("page", "par_no")) - 1  # 0 begins the run
+    d = d.withColumn("_new", (place % 2 == 0).cast("int")).withColumn("_block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    xs = F.transform(F.sort_array(F.collect_list(F.struct("page", "par_no", "text"))), lambda x: x.text)
+    first = F.min(F.struct("page", "par_no", "size"))
+    return d.groupBy("doc_id", "_block").agg(first.alias("f"), joined_lines(xs).alias("text")).select("doc_id", "f.page", "f.par_no", "text", "f.size")
+
+
+def chapter_labels(heads: DataFrame) -> DataFrame:
+    """Headings (doc_id, page, pos, text) where a bare "Chapter 3" and the heading after it on its page are one."""
+    label = r"(?i)^\s*(chapter|part|cap[ií]tulo|parte|chapitre|kapitel|teil)\s+([0-9]+|[ivxlc]+)\.?\s*$"
+    w = Window.partitionBy("doc_id", "page").orderBy("pos")
+    d = heads.withColumn("_bare", F.col("text").rlike(label)).withColumn("_next", F.lead(F.struct("text", "_bare")).over(w)).withColumn("_prev", F.lag("_bare").over(w))
+    merged = F.col("_bare") & F.col("_next").isNotNull() & ~F.col("_next._bare")
+    gone = F.coalesce(F.col("_prev") & ~F.col("_bare"), F.lit(False))
+    return d.withColumn("text", F.when(merged, F.concat(F.trim("text"), F.lit(": "), F.col("_next.text"))).otherwise(F.col("text"))).where(~gone).drop("_bare", "_next", "_prev")
+
+
+def vertical_spans(cells: DataFrame, table: list[str]) -> DataFrame:
+    """Cells (row, col, merge: restart, continue or null) that begin something, with ``rows``: how many rows they cover."""
+    w = Window.partitionBy(*table, "col").orderBy("row")
+    d = cells.withColumn("_new", F.coalesce(F.col("merge") != "continue", F.lit(True)).cast("int"))
+    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("rows", F.count("*").over(Window.partitionBy(*table, "col", "_run"))).where("_new = 1").drop("_new", "_run")

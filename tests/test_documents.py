@@ -158,3 +158,13 @@ def test_archives_documents_and_bytes(spark, tmp_path):
     assert {r.path: r.orientation for r in office.exif_orientation(files).collect()} == {"j": 6, "n": 1}
     pdfs = spark.createDataFrame([(b"%PDF-1.4 x",), (b"%PDF-1.7 /Encrypt 5 0 R",), (b"hello",)], "c binary")
     assert [r[0] for r in pdfs.select(office.protection(F.col("c"))).collect()] == ["open", "protected", "invalid"]
+
+
+def test_page_breaks_and_labels(spark):
+    pars = [(1, 1, 0, "starts here and", 10.0), (1, 2, 0, "goes on and", 10.0), (1, 3, 0, "not here and", 10.0), (1, 4, 0, "but here.", 10.0), (1, 5, 0, "hyphen-", 10.0), (1, 6, 0, "ated", 14.0)]
+    got = tables.joined_across_pages(spark.createDataFrame(pars, "doc_id long, page int, par_no int, text string, size double"))
+    assert [(r.page, r.text) for r in got.orderBy("page").collect()] == [(1, "starts here and goes on and"), (3, "not here and but here."), (5, "hyphen-"), (6, "ated")]
+    heads = spark.createDataFrame([(1, 1, 0, "CHAPTER IV"), (1, 1, 1, "The Sea"), (1, 2, 0, "Chapter 5"), (1, 3, 0, "Alone")], "doc_id long, page int, pos int, text string")
+    assert [r.text for r in tables.chapter_labels(heads).orderBy("page", "pos").collect()] == ["CHAPTER IV: The Sea", "Chapter 5", "Alone"]
+    cells = spark.createDataFrame([(1, 0, 0, "restart"), (1, 1, 0, "continue"), (1, 2, 0, None), (1, 0, 1, None)], "t int, row int, col int, merge string")
+    assert {(r.row, r.col): r.rows for r in tables.vertical_spans(cells, ["t"]).collect()} == {(0, 0): 2, (2, 0): 1, (0, 1): 1}
