@@ -61,7 +61,6 @@ def routed(patterns: list[tuple[tuple, int]], quota: dict, costs: tuple[int, ...
     todo = [p for p in range(len(patterns)) if p not in done and patterns[p][1] > 0]
     while True:
         # from every pattern at the price of its next copy; along a flow backwards words can be moved over
-        best: dict = {}
         heap: list = []
         for p in todo:
             copy = used[p] // patterns[p][1]
@@ -93,7 +92,6 @@ def routed(patterns: list[tuple[tuple, int]], quota: dict, costs: tuple[int, ...
         first = path[-1][1]
         room = patterns[first][1] * (used[first] // patterns[first][1] + 1) - used[first]
         amount = min([room, left[goal[1]]] + [flow[p][s] for (k, p), (_, s) in zip(path, path[1:]) if k == 0])
-        best.clear()
         for (k, a), (_, b) in zip(path, path[1:]):  # from the end: source a got it from pattern b, or pattern a gave up source b
             if k == 1:
                 flow[b][a] = flow[b].get(a, 0) + amount

@@ -303,3 +303,23 @@ def test_secrets(spark):
     score = secrets.train(secrets.weak_labels(secrets.findings(d.where("doc_id % 2 = 0"))))
     held = secrets.findings(d.where("doc_id % 2 = 1")).withColumn("p", score(F.col)).collect()
     assert sum((r.p >= 0.5) == r.marked for r in held) >= 0.9 * len(held)
+
+
+def test_flows_are_the_cheapest_largest():
+    """Against every choice of levels on small instances with two sources."""
+    import itertools
+
+    rnd = random.Random(7)
+    price = lambda lv, p: sum(mixture.COPY_COSTS[t] * max(0, min(s, x - t * s)) for x, (_, s) in zip(lv, p) for t in range(3))
+    for _ in range(40):
+        p = [(rnd.choice([("a",), ("b",), ("a", "b")]), rnd.randint(1, 3)) for _ in range(3)]
+        q = {"a": rnd.randint(0, 9), "b": rnd.randint(0, 9)}
+
+        def fits(lv):
+            need = [sum(x for x, (m, _) in zip(lv, p) if m == (s,)) for s in "ab"]
+            return need[0] <= q["a"] and need[1] <= q["b"] and sum(lv) <= q["a"] + q["b"]
+
+        want = min((-sum(lv), price(lv, p)) for lv in itertools.product(*[range(3 * s + 1) for _, s in p]) if fits(lv))
+        got = mixture.routed(p, q)
+        lv = [sum(f.values()) for f in got]
+        assert all(sum(f.get(s, 0) for f in got) <= q[s] for s in "ab") and (-sum(lv), price(lv, p)) == want
