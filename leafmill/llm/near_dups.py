@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     prefix = COORDINATES - least + 1
     sketch = stage(sketches(d, k), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join reads two plain shuffles and a class with very many copies can be split
+    classes = stage(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stage(full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").groupBy("doc_id").agg(F.min(F.struct("sig", "low", "n_shingles")).alias("s")).select("doc_id", "s.*"), "reps")
 
     def coordinates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
