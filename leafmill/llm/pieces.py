@@ -24,8 +24,11 @@ MARKER = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: An uncovered character costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
-#: Distinct pre-tokens kept per worker, characters split at once, and the length beyond which words go one by one.
-MEMO, CHUNK, LONG = 250_000, 1_500_000, 96
+#: Distinct pre-tokens kept per worker, characters split at once, words in one matrix, and the length in bytes beyond
+#: which words go one by one.  They bound what a worker holds, besides the rows of one slice.
+MEMO, CHUNK, WORDS, LONG = 120_000, 300_000, 4000, 96
+#: Rows encoded and handed on at once.
+SLICE = 100
 _PRE = re.compile("\n| *[^ \n]+| +")
 
 
@@ -201,7 +204,7 @@ class Unigram:
         by_length.sort(key=lambda x: len(x[0]))
         i = 0
         while i < len(by_length) and len(by_length[i][0]) <= LONG:
-            j = min(len(by_length), i + 20_000)
+            j = min(len(by_length), i + WORDS)
             while len(by_length[j - 1][0]) > min(LONG, len(by_length[i][0]) + 8):
                 j -= max(1, (j - i) // 8) if j - i > 1 else 0
                 if j - i <= 1:
@@ -248,13 +251,15 @@ def encode(docs: DataFrame, file: str = "piece_bpe_32k.model", folder: str | Non
     equal rows are encoded each.  Literal markers in a text count as spaces."""
     path = tokenizer_file(file, folder)
 
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
-        for texts in batches:
-            yield pd.Series(m.encode(texts.tolist()), dtype=object)
+        for b in batches:
+            for i in range(0, len(b), SLICE):
+                part = b.iloc[i : i + SLICE]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": m.encode(part["text"].tolist())})
 
     d = columns_of(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
-    return d.select("doc_id", F.pandas_udf(ids, "array<int>")("text").alias("ids"))
+    return d.mapInPandas(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, file: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
@@ -279,9 +284,11 @@ def digests(docs: DataFrame, file: str = "piece_bpe_32k.model", folder: str | No
         m = model(path)
         for b in batches:
             rows = []
-            for text, ids in zip(b["text"], m.encode(b["text"].tolist()), strict=True):
-                back = m.decode(ids.tolist())
-                rows.append((len(ids), int(m.is_byte[ids].sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode()), back == text.replace(MARKER, " ")))
+            for i in range(0, len(b), SLICE):
+                texts = b["text"].iloc[i : i + SLICE].tolist()
+                for text, ids in zip(texts, m.encode(texts), strict=True):
+                    back = m.decode(ids.tolist())
+                    rows.append((len(ids), int(m.is_byte[ids].sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode()), back == text.replace(MARKER, " ")))
             out = pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), out], axis=1)
 
