@@ -266,6 +266,18 @@ def test_passages(spark):
     assert set(spans) == {0, 1, 2, 3, 4} and passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_unlike_chains_are_cut(spark):
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    texts, want = [], set()
+    for i in range(0, 40, 4):
+        p, q, r, s = fresh(55), fresh(20), fresh(50), fresh(50)
+        texts += [fresh(20) + p + fresh(20) + q + fresh(20), fresh(70) + p + fresh(20) + q + fresh(9), fresh(20) + r + s + fresh(5), fresh(8) + r + fresh(26) + s + fresh(40)]
+        want |= {(i, 20, 75), (i + 1, 70, 125), (i + 2, 20, 120), (i + 3, 8, 58), (i + 3, 84, 134)}
+    got = {(x.doc_id, x.start_word, x.end_word) for x in passages.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == want
+
+
 def test_chains_match_brute_force():
     rnd = random.Random(6)
     for _ in range(30):
