@@ -266,6 +266,23 @@ def test_passages(spark):
     assert set(spans) == {0, 1, 2, 3, 4} and passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_middle_documents_of_frequent_lines_meet(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    texts, want = [[] for _ in range(60)], set()
+    for i in range(10):  # each of two lines alone in other documents with smaller and larger ids
+        one, two = fresh(26), fresh(26)
+        texts[i] = fresh(40) + one + fresh(30)
+        texts[10 + i] = fresh(20) + two + fresh(30)
+        texts[20 + i] = fresh(70) + one + two + fresh(20)
+        texts[30 + i] = fresh(10) + one + two + fresh(60)
+        texts[40 + i] = fresh(10) + one + fresh(33)
+        texts[50 + i] = fresh(15) + two + fresh(13)
+        want |= {(20 + i, 70, 122, 30 + i), (30 + i, 10, 62, 20 + i)}
+    got = {(x.doc_id, x.start_word, x.end_word, x.partner_id) for x in passages.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == want
+
+
 def test_unlike_chains_are_cut(spark):
     rnd = random.Random(8)
     fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
