@@ -29,11 +29,13 @@ class Kind:
 
 
 KINDS = (
+    # the whole block; one without an end, as far as its lines look like a key's.  First, as it may be an assigned value
+    Kind("private_key", r"(-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*+)*+(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++\z))*+))", True),
     Kind("access_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])", True),
-    Kind("assigned", r"(?i)\b(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([a-z0-9+/_\-]{8,200})", True),
-    Kind("private_key", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)", True),
-    Kind("prefixed", r"(?<![A-Za-z0-9])((?:ghp_|gho_|xoxb-|xoxp-|sk-|AIza|glpat-)[A-Za-z0-9_\-]{16,200})", True),
-    Kind("opaque", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]{0,199}[0-9])[A-Za-z0-9+/_\-]{16,200})(?![A-Za-z0-9+/_\-])", False),
+    # up to the closing quote, or else up to a space or delimiter, without the stop of a sentence
+    Kind("assigned", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?((?<=\")(?:[^\"\\\r\n]|\\.){8,}+(?=\")|(?<=')(?:[^'\\\r\n]|\\.){8,}+(?=')|[\x21-\x7E&&[^\"'`<>,;(){}\[\]|&\\]]{8,}(?<![.:?]))", True),
+    Kind("prefixed", r"(?<![A-Za-z0-9])((?:ghp_|gho_|xoxb-|xoxp-|sk-|AIza|glpat-)[A-Za-z0-9_\-]{16,}+)", True),
+    Kind("opaque", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+)", False),
 )
 #: Common words and parts of names; how much of a candidate they cover is a feature.
 DICTIONARY = "about after and are big can code com copy count data date day default doc edit en error example file first for from group has have home http image index info item key last line link list log main map name new not note now null number old one open org our out page part path plan post read report request result root sample set size some source start state stop sub table test text that the this time title total true two type under update url use user value view was web with word work year you your".split()
