@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given and returns a DataFrame; all but the last
-return the columns of their input.  Rows whose ids repeat share one decision where a stage decides by id.
+return the columns of their input.  Decisions are by row: ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    gone = near_dups.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, the one with the smallest id (null last)."""
+    # written, so that the numbers are the same in both joins
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_dups.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_order"))
+    stays = found.select(F.col("doc_id").alias("_row"), "component_id").join(order, "_row").groupBy("component_id").agg(F.min("_order").alias("_first"))
+    return rows.join(stays.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +44,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, from none to three times."""
-    sized = docs.select("doc_id", count_words(F.col("text")).alias("size"), F.array("source").alias("sources"))
-    copies = mixture.mix(sized).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, from none to three times; rows equal in all columns share one decision."""
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    sized = keyed.select(F.col("_key").alias("doc_id"), count_words(F.col("text")).alias("size"), F.array("source").alias("sources"))
+    copies = mixture.mix(sized).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

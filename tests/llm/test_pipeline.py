@@ -33,3 +33,14 @@ def test_empty(spark):
     for _, step in c.STAGES:
         docs = c.stage(step(spark, docs, SMALL), "e")
         assert docs.count() == 0
+
+
+def test_rows_without_an_id_or_with_one_id(spark):
+    long_, other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(1, long_, "s"), (2, other, "s"), (2, long_ + " z", "s"), (None, third, "s"), (None, third + " y", "s")]
+    docs = c.stage(spark.createDataFrame(rows, "doc_id long, text string, source string"), "d")
+    single = c.stage(c.near_dedup(spark, docs, SMALL), "n")
+    got = {(r.doc_id, r.text[0]) for r in single.collect()}
+    assert single.count() == 3 and got == {(1, "a"), (2, "b"), (None, "c")}
+    mixed = c.source_mix(spark, single, SMALL)
+    assert sorted(r.text[0] for r in mixed.collect()) == ["a", "b", "c"] and mixed.columns == docs.columns
