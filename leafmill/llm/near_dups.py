@@ -8,10 +8,11 @@ coordinate it shares and skipped in all others.
 - Texts with equal shingle sets are one class; only its smallest id is posted.
 - Each document is first compared with the smallest documents of its lists (those it collides with most), which
   costs one or two pairs a document however long a list is, and joins most of a large group.
-- What is left are lists whose documents are still in different components.  Those outside a list's largest
-  component meet those of the list that have a fitting size, in blocks of bounded size; signatures are compared first, and only where
-  pairs above the match threshold remain the texts follow, are compared exactly, and each block returns the
-  links that join components - never all pairs.
+- What is left are lists whose documents are still in different components.  A long one (a common line, say) is
+  dealt out anew by a second shared coordinate, of which any pair has one in the prefix and the coordinate after it.
+- Documents outside a list's largest component meet those of the list that have a fitting size, in blocks of bounded
+  size; signatures are compared first, and only where pairs above the match threshold remain the texts follow, are
+  compared exactly, and each block returns the links that join components - never all pairs.
 """
 
 from __future__ import annotations
@@ -53,8 +54,7 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig and low (the whole signature and its lower
-    halves; null where the set is empty)."""
+    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig (the signature; null where the set is empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -63,13 +63,12 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part["text"].tolist(), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
-                low: list = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                    sig[i], low[i] = row.tobytes(), row.astype(np.uint16).tobytes()
+                    sig[i] = row.tobytes()
                 print_ = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64))) if len(s) else (0, 0) for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "f1": [p[0] for p in print_], "f2": [p[1] for p in print_], "sig": sig, "low": low})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "f1": [p[0] for p in print_], "f2": [p[1] for p in print_], "sig": sig})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, low binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -94,9 +93,10 @@ def matches(q: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def pairs_of(sig: np.ndarray, g: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the pairs of one list that are above the threshold, in different components, and share no
-    earlier coordinate; with their matches.  Only rows that ask look for others; two rows of the upper size
-    meet in another group."""
-    label, asks, upper, coordinate = g["label"].to_numpy(), g["asks"].to_numpy(), g["upper"].to_numpy(), int(g["c"].iloc[0])
+    earlier coordinate (nor one between the two that a dealt out list stands for); with their matches.  Only rows that
+    ask look for others; two rows of the upper size meet in another group."""
+    label, asks, upper = g["label"].to_numpy(), g["asks"].to_numpy(), g["upper"].to_numpy()
+    first, second = int(g["c"].iloc[0]), int(g["c2"].iloc[0])
     rows = np.flatnonzero(asks)
     q, t, n = [], [], []
     for a in range(0, len(rows), 256):
@@ -108,8 +108,9 @@ def pairs_of(sig: np.ndarray, g: pd.DataFrame, least: int) -> tuple[np.ndarray,
         t.append(j)
     q, t, n = np.concatenate(q), np.concatenate(t), np.concatenate(n)
     ok = ~(asks[t] & (t < q))  # both ask: once
-    if coordinate:
-        ok &= ~(sig[q, :coordinate] == sig[t, :coordinate]).any(1)
+    for a, b in ((0, first), (first + 1, second)):
+        if a < b:
+            ok &= ~(sig[q, a:b] == sig[t, a:b]).any(1)
     return q[ok], t[ok], n[ok]
 
 
@@ -151,39 +152,60 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def unresolved(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Postings of lists with more than one component, dealt into groups (c, v, size, block, chunk).
+def open_lists(p: DataFrame) -> DataFrame:
+    """``p`` (c, v, c2, v2, doc_id, label, size, upper, n_shingles) of the lists with more than one component, with
+    the list's rows (n), shingles (m), and largest component (top, n_top)."""
+    key = ["c", "v", "c2", "v2", "size"]
+    sizes = p.groupBy(*key, "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.max((~F.col("upper")).cast("int")).alias("lower")).groupBy(*key)
+    lists = sizes.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("labels"), F.max("lower").alias("lower"), F.max(F.struct("n", "label")).alias("t"))
+    return p.join(lists.where("labels > 1 and lower = 1").select(*key, "n", "m", F.col("t.label").alias("top"), F.col("t.n").alias("n_top")), key)
+
+
+def unresolved(postings: DataFrame, labels: DataFrame, reps: DataFrame, prefix: int, percent: int) -> DataFrame:
+    """Postings of lists with more than one component, dealt into groups (GROUP).
 
     Sets of which one is smaller than ``percent`` of the other can't be similar, so a list falls into classes of
-    sizes: a group holds a class and, as upper rows, the next larger one.  Every document is once a target, those
-    outside the largest component are in every block as asking ones."""
+    sizes: a group holds a class and, as upper rows, the next larger one.  A list of over BLOCK rows falls into
+    those of a second coordinate (c2, v2).  Every document is once a target, those outside the largest component
+    are in every block as asking ones."""
     p = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     own = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("int")
     p = p.withColumn("own", own).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("upper", F.col("own") > F.col("size"))
-    key = ["c", "v", "size"]
-    sizes = p.groupBy(*key, "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.max((~F.col("upper")).cast("int")).alias("lower")).groupBy(*key)
-    lists = sizes.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("labels"), F.max("lower").alias("lower"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1 and lower = 1")
+    p = stage(open_lists(p.drop("own").withColumn("c2", F.lit(-1)).withColumn("v2", F.lit(0).cast("long"))), "lists")
+    rows = ["c", "v", "c2", "v2", "doc_id", "label", "size", "upper", "n_shingles"]
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), 1000):
+                part = b.iloc[s : s + 1000]
+                sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)[:, : prefix + 1]
+                row, c2 = np.nonzero(np.arange(sig.shape[1])[None, :] > part["c"].to_numpy()[:, None])
+                out = part.iloc[row].drop(columns="sig")
+                yield out.assign(c2=c2.astype(np.int32), v2=sig[row, c2].astype(np.int64))[rows]
+
+    kind = "c int, v long, c2 int, v2 long, doc_id long, label long, size int, upper boolean, n_shingles int"
+    long_ = p.where(F.col("n") > BLOCK).select(*rows).join(reps.select("doc_id", "sig"), "doc_id").mapInPandas(second, kind)
+    p = p.where(F.col("n") <= BLOCK).unionByName(open_lists(long_))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES)).cast("int")
-    rest_share = (F.col("n") - F.col("top.n")) / F.col("n")
-    lists = lists.select(*key, F.col("top.label").alias("top"), blocks.alias("blocks"), F.greatest(F.lit(1), F.ceil(blocks * rest_share)).cast("int").alias("chunks"))
-    p = p.join(lists, key)
+    rest_share = (F.col("n") - F.col("n_top")) / F.col("n")
+    p = p.withColumn("blocks", blocks).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * rest_share)).cast("int"))
     h = F.xxhash64("doc_id")
     rest, single = F.col("label") != F.col("top"), F.col("blocks") * F.col("chunks") == 1
-    rows = [*key, "doc_id", "label", "upper"]
+    rows = ["c", "v", "c2", "v2", "size", "doc_id", "label", "upper"]
     target = p.select(*rows, F.pmod(h, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), (rest & single).alias("asks"))
     asking = p.where(rest & ~single).select(*rows, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
     return target.unionByName(asking)
 
 
-GROUP = ["c", "v", "size", "block", "chunk"]
+GROUP = ["c", "v", "c2", "v2", "size", "block", "chunk"]
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     A null text, or one without words, has an empty set and is linked with nothing; fewer than k words are one
-    shingle.  Rows with the same id count as one document when linked.  A row without an id is never
-    linked and is kept.  Other columns are left out.  No rows: no result."""
+    shingle.  Rows with the same id count as one document when linked, by the sets of all of them.  A row without an id
+    is never linked and is kept.  Other columns are left out.  No rows: no result."""
     d = columns_of(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     least = least_matches(percent / 100)
     prefix = COORDINATES - least + 1
@@ -191,7 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     # written, so that the join reads two plain shuffles and a class with very many copies can be split
     classes = stage(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stage(full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").groupBy("doc_id").agg(F.min(F.struct("sig", "low", "n_shingles")).alias("s")).select("doc_id", "s.*"), "reps")
+    reps = full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").groupBy("doc_id", "f1", "f2", "n_shingles").agg(F.first("sig").alias("sig"))
+    reps = stage(reps.select("doc_id", "sig", "n_shingles"), "reps")
 
     def coordinates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,24 +231,27 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     links = stage(verified(ranked.select("a", "b"), d, k, percent), "first")
     labels = components(links)
 
-    left = unresolved(postings.select("c", "v", "doc_id", "n_shingles"), labels, percent)
-    half = reps.select("doc_id", "low")
+    left = unresolved(postings.select("c", "v", "doc_id", "n_shingles"), labels, reps, prefix, percent)
     row = [*GROUP, "doc_id", "label", "upper", "asks"]
 
     def flag(g: pd.DataFrame) -> pd.DataFrame | None:
         if not g["asks"].any():
             return None
-        q, t, _ = pairs_of(np.frombuffer(b"".join(g["low"]), np.uint16).reshape(len(g), -1), g, least)
+        q, t, _ = pairs_of(np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1), g, least)
         return g.iloc[np.unique(np.r_[q, t])][row] if len(q) else None
 
-    kind = "c int, v long, size int, block int, chunk int, doc_id long, label long, upper boolean, asks boolean"
-    meet = left.join(half, "doc_id").select(*row, "low").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    kind = "c int, v long, c2 int, v2 long, size int, block int, chunk int, doc_id long, label long, upper boolean, asks boolean"
+    meet = left.join(reps.select("doc_id", "sig"), "doc_id").select(*row, "sig").repartition(*GROUP).sortWithinPartitions(*GROUP)
     flagged = stage(meet.mapInPandas(by_group(GROUP, flag), kind), "flagged")
 
     def link(g: pd.DataFrame) -> pd.DataFrame | None:
         sets = shingle_sets(g["text"].tolist(), k)
+        if not all(map(len, sets)):  # another row of an id may have no words
+            g, sets = g[[len(s) > 0 for s in sets]], [s for s in sets if len(s)]
+        if not g["asks"].any():
+            return None
         ids = g["doc_id"].to_numpy()
-        q, t, n = pairs_of(signatures(sets).astype(np.uint16), g, least)
+        q, t, n = pairs_of(signatures(sets), g, least)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -247,7 +273,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     more = again.mapInPandas(by_group(GROUP, link), "a long, b long")
     found = components(links.unionByName(more))
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("component"))
-    out = sketch.join(joined, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    # documents without words, and rows without an id, share one set that is linked with nothing: they take no part in the join
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    out = sketch.where(~alone).join(joined, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = out.unionByName(sketch.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

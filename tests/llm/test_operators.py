@@ -246,6 +246,35 @@ def test_near_duplicates_edges(spark):
     assert near_dups.least_matches(0.8) == 36
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id counts with the sets of all its rows; one of them may have no words."""
+    rnd = random.Random(15)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    a, b = fresh(80), fresh(80)
+    rows_ = [(5, " ".join(a)), (5, None), (5, " ".join(b)), (2, " ".join(a[:-1] + ["x"])), (9, " ".join(["y"] + b[1:])), (7, "")]
+    rows_ += [(20 + i, t) for i, t in enumerate(family(rnd, a, 37, 0.03))]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    label = {r.doc_id: r.component_id for r in got if r.n_shingles}
+    assert len(got) == len(rows_) and label[2] == label[9] == label[5] == 2
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if not r.n_shingles and r.doc_id == 7} == {(7, 7, True)}
+
+
+def test_near_duplicates_do_not_depend_on_partitions(spark):
+    rnd = random.Random(16)
+    line = " ".join(f"c{i}" for i in range(12))
+    texts = [t for _ in range(30) for t in family(rnd, [f"w{rnd.randrange(500)}" for _ in range(60)], 5, 0.03)]
+    texts = [f"{line} {t}" for t in texts]
+    want = [top for _, top in brute(texts)]
+    for parts, adaptive in ((1, "true"), (7, "false")):
+        before = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = near_dups.near_duplicates(docs(spark, texts).repartition(parts)).orderBy("doc_id").collect()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", before)
+        assert [r.component_id for r in got] == want
+
+
 def test_hashes():
     words, at = shingles.word_hashes(["A b", None, "", " \ta\nÜ ", "b"])
     assert at.tolist() == [0, 2, 2, 2, 4, 5] and words[0] == words[2] and words[1] == words[4] and len(set(words.tolist())) == 3
