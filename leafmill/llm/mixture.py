@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import columns_of, count_words, stage, table
 
-#: Patterns that may reach the driver; more is an error, not a cut.
+#: Patterns that may reach the driver; more is an error, not a cut: sources have to be grouped then.
 MAX_PATTERNS = 50_000
 #: Marginal cost of the first, second, third copy.
 COPY_COSTS = (0, 1, 3)
@@ -44,32 +44,51 @@ def filled(capacity: list[int], weights: list[int], total: int) -> list[Fraction
 def routed(patterns: list[tuple[tuple, int]], quota: dict, costs: tuple[int, ...] = COPY_COSTS) -> list[dict]:
     """Words from each (members, size) to each member source: a flow of least cost among the largest ones.
 
-    Shortest augmenting paths on the graph of patterns and sources, component by component; a pattern with
-    one source that nobody else claims needs no search."""
+    Patterns that no chain of common sources connects don't compete: each group of them is a flow of its own."""
     claims = defaultdict(list)
     for p, (members, _) in enumerate(patterns):
         for s in members:
             claims[s].append(p)
     flow: list[dict] = [{} for _ in patterns]
-    left = dict(quota)
-    done: set[int] = set()
-    for p, (members, size) in enumerate(patterns):
-        if len(members) == 1 and len(claims[members[0]]) == 1:
-            flow[p] = {members[0]: min(size * len(costs), left.get(members[0], 0))}
-            done.add(p)
+    seen: set[int] = set()
+    for start in range(len(patterns)):
+        if start in seen:
+            continue
+        seen.add(start)
+        group = [start]
+        for p in group:
+            for s in patterns[p][0]:
+                new = [q for q in claims.pop(s, ()) if q not in seen]
+                seen.update(new)
+                group += new
+        own = sorted(group)
+        for p, f in zip(own, least_cost([patterns[p] for p in own], quota, costs), strict=True):
+            flow[p] = f
+    return flow
+
+
+def least_cost(patterns: list[tuple[tuple, int]], quota: dict, costs: tuple[int, ...]) -> list[dict]:
+    """The flow of one group, by shortest augmenting paths on the graph of its patterns and sources."""
+    claims = defaultdict(list)
+    for p, (members, _) in enumerate(patterns):
+        for s in members:
+            claims[s].append(p)
+    flow: list[dict] = [{} for _ in patterns]
+    left = {s: quota[s] for s in claims if s in quota}
+    turn = {s: i for i, s in enumerate(claims)}  # sources may be null: ties in the heap go by their numbers
     used = [0] * len(patterns)
-    todo = [p for p in range(len(patterns)) if p not in done and patterns[p][1] > 0]
+    todo = [p for p in range(len(patterns)) if patterns[p][1] > 0]
     while True:
         # from every pattern at the price of its next copy; along a flow backwards words can be moved over
         heap: list = []
         for p in todo:
             copy = used[p] // patterns[p][1]
             if copy < len(costs):
-                heapq.heappush(heap, (costs[copy], 0, p, None))
+                heapq.heappush(heap, (costs[copy], 0, p, p, None))
         seen: dict = {}
         goal = None
         while heap:
-            cost, kind, node, before = heapq.heappop(heap)
+            cost, kind, _, node, before = heapq.heappop(heap)
             if (kind, node) in seen:
                 continue
             seen[kind, node] = before
@@ -79,11 +98,11 @@ def routed(patterns: list[tuple[tuple, int]], quota: dict, costs: tuple[int, ...
             if kind == 0:
                 for s in patterns[node][0]:
                     if (1, s) not in seen and s in left:
-                        heapq.heappush(heap, (cost, 1, s, (kind, node)))
+                        heapq.heappush(heap, (cost, 1, turn[s], s, (kind, node)))
             else:
                 for p in claims[node]:
                     if (0, p) not in seen and flow[p].get(node, 0) > 0:
-                        heapq.heappush(heap, (cost, 0, p, (kind, node)))
+                        heapq.heappush(heap, (cost, 0, p, p, (kind, node)))
         if goal is None:
             return flow
         path = [goal]
@@ -147,7 +166,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_copies: int =
         rows.append((list(members), whole, take - whole * size, max(1, min(MAX_PARTS, -(-n // PART_ROWS))), p.sizes[first], p.targets[first]))
     kind = "pattern array<string>, whole long, more long, parts int, source_size long, target double"
     plans = F.broadcast(spark.createDataFrame(rows, kind))  # at most MAX_PATTERNS rows
-    same = F.array_join("pattern", "\x1f", "\x00")
+    same = F.to_json("pattern")  # tells a null source from any text
     d = slim.withColumn("_key", same).join(plans.withColumn("_key", same).drop("pattern"), "_key")
     d = d.withColumn("_part", F.pmod("_h", F.col("parts")).cast("int"))
     # words before each part of a pattern, in the order of parts: only the part in which `more` ends is looked into
