@@ -1,12 +1,13 @@
 """Secret scans: candidates by patterns, false positives removed by a random forest.
 
 All of it is DataFrame expressions and the JVM's own forest.  Candidates are cut out of whole texts by
-regular expressions; features are counted with SQL functions; the forest is trained on labelled findings
-and then written out as one column expression, so scoring and redaction happen inside the row, without a shuffle.
+regular expressions; features are counted with SQL functions, the dictionary from the corpus; the forest is trained on
+labelled findings and then written out as one column expression, so scoring and redaction happen inside the row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import columns_of, stage, table
+from leafmill.llm.common import columns_of, shared_dir, stage, table
 
 
 @dataclass(frozen=True)
@@ -37,10 +38,11 @@ KINDS = (
     Kind("prefixed", r"(?<![A-Za-z0-9])((?:ghp_|gho_|xoxb-|xoxp-|sk-|AIza|glpat-)[A-Za-z0-9_\-]{16,}+)", True),
     Kind("opaque", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+)", False),
 )
-#: Common words and parts of names; how much of a candidate they cover is a feature.
-DICTIONARY = "about after and are big can code com copy count data date day default doc edit en error example file first for from group has have home http image index info item key last line link list log main map name new not note now null number old one open org our out page part path plan post read report request result root sample set size some source start state stop sub table test text that the this time title total true two type under update url use user value view was web with word work year you your".split()
-#: Labelled findings that train the forest, at most; code points that are looked at on either side.
-TRAIN_ROWS, AROUND = 20_000, 40
+#: The most frequent words of the corpus that make up the dictionary; words have that many letters at least.
+DICTIONARY_WORDS, WORD_LETTERS = 1000, 4
+#: Documents whose words surround the planted findings, findings that train the forest, at most; code points that are
+#: looked at on either side.
+PLANT_DOCS, TRAIN_ROWS, AROUND = 1000, 20_000, 40
 FEATURES = ("length", "digits", "uppers", "lowers", "transitions", "dictionary", "path_like", "in_path", "key_before", "assigned_before", "quoted", "word_before", "word_after")
 
 
@@ -87,13 +89,19 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
-def features(x: Callable[[str], Column]) -> dict[str, Column]:
-    """The features by name; ``x`` gives candidate, before, after, source as columns."""
+def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
+    """The ``size`` most frequent words (WORD_LETTERS letters a to z or more, in lower case) of all texts; ties in order."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= WORD_LETTERS)
+    return [r.word for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(size).collect()]
+
+
+def features(x: Callable[[str], Column], words: list[str]) -> dict[str, Column]:
+    """The features by name; ``x`` gives candidate, before, after, source as columns; ``words`` is the dictionary."""
     c, before, after = x("candidate"), x("before"), x("after")
     n = F.length(c).cast("double")
     word = F.lower(F.regexp_extract(before, r"([A-Za-z_]+)[^A-Za-z_]*$", 1))
     next_ = F.regexp_extract(after, r"^[^A-Za-z]*([A-Za-z]+)", 1)
-    covered = n - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
+    covered = n - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(words, key=lambda w: (-len(w), w))) or r"\z", ""))
     flag = lambda b: F.when(b, 1.0).otherwise(0.0)
     return {
         "length": n,
@@ -139,42 +147,73 @@ class Ready:
         return self.x[name]
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 6, seed: int = 11) -> Callable[[Callable[[str], Column]], Column]:
+def planted(docs: DataFrame, rows: int = PLANT_DOCS, seed: int = 11) -> DataFrame:
+    """Labelled findings: known secrets (1) and known harmless strings (0), planted among the words of ``rows``
+    documents, those with the smallest hashes.
+
+    Random strings are digests of seed and document, so reruns agree.  Harmless ones are card numbers, digests that a
+    word names, paths, names with numbers, times, placeholders.  Documents without text plant nothing."""
+    d = columns_of(docs, doc_id="doc_id", text="text", source="source").where("text is not null")
+    d = d.select("source", F.substring("text", 1, 400).alias("text"), F.sha2(F.concat_ws(" ", F.lit(seed), F.col("doc_id"), F.substring("text", 1, 400)), 256).alias("hex"))
+    d = d.orderBy("hex", "source").limit(rows)
+    word = lambda i: F.coalesce(F.get(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2), F.lit(i)), F.lit("name"))
+    d = d.select("source", "text", "hex", F.translate(F.base64(F.unhex("hex")), "+/=", "qZ7").alias("mixed"), word(0).alias("u"), word(1).alias("v"), word(2).alias("w"))
+    lines = "concat_ws('\\n', mixed, reverse(mixed), mixed)"
+    true = (
+        "'token = \"' || left(hex, 40) || '\"'", "'TOKEN = \"' || upper(left(hex, 40)) || '\"'", "'api_key=' || left(mixed, 32)", "'password: ' || left(mixed, 12)", "'AKIA' || upper(left(mixed, 16))", "'ghp_' || left(mixed, 36)",
+        "'client_secret: ' || mixed", "left(mixed, 40)", "'Bearer ' || mixed || reverse(mixed)", "'\"password\": \"' || left(mixed, 9) || '.' || u || '!\"'", f"'-----BEGIN RSA PRIVATE KEY-----\\n' || {lines} || '\\n-----END RSA PRIVATE KEY-----'",
+        f"'token=' || repeat(mixed, 12)", "'ghp_' || repeat(mixed, 12)",
+    )
+    false = (
+        "left(translate(hex, 'abcdef', '012345'), 16)", "left(translate(hex, 'abcdef', '678901'), 19)", "'commit ' || left(hex, 40)", "'sha256 ' || hex", "'docs/' || u || '/' || v || '/part-12/' || w", "u || '_' || v || '_' || w || '_2024'",
+        "'password = example_' || u || '1'", "'token: your_' || v || '_token_here1'", "'secret=' || u || '-' || v || '-' || w", "u || '-' || v || '-release-2024-11-05'", "'2024110510' || left(translate(hex, 'abcdef', '012345'), 11)", "'api_key=' || u || v || w",
+    )
+    forms = F.array(*[F.struct(F.expr(f).alias("plant"), F.lit(label).alias("label")) for kind, label in ((true, 1), (false, 0)) for f in kind])
+    d = d.select("source", "text", F.explode(forms).alias("f")).select("source", "f.*", F.concat_ws(" ", F.left("text", F.lit(60)), "f.plant", F.substring("text", 61, 60)).alias("text"))
+    found = exploded(located(d), "source", "plant", "label").where(F.contains("plant", F.col("f.candidate")))
+    return found.select("source", "f.candidate", "f.before", "f.after", "label")
+
+
+def train(labelled: DataFrame, words: list[str], rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 6, seed: int = 11) -> Callable[[Callable[[str], Column]], Column]:
     """A function from the columns of a finding to its probability of being a secret.
 
     ``labelled``: findings with ``label`` (0 or 1).  At most ``rows`` distinct ones train the forest, those with
     the smallest hash.  If they have one label alone the probability is that label; without any it is 1."""
     given = labelled.select("candidate", "before", "after", "source", F.col("label").cast("double").alias("label")).distinct()
-    own = given.select("label", *[c.alias(n) for n, c in features(F.col).items()], F.xxhash64(F.lit(seed), "candidate", "before", "after", "source").alias("_h"))
+    own = given.select("label", *[c.alias(n) for n, c in features(F.col, words).items()], F.xxhash64(F.lit(seed), "candidate", "before", "after", "source").alias("_h"))
     part = stage(own.orderBy("_h", *FEATURES).limit(rows).coalesce(1), "labelled")
-    labels = {r[0] for r in part.select("label").distinct().limit(3).collect()}
-    if len(labels) < 2:
-        constant = labels.pop() if labels else 1.0
+    counts = {r.label: r["count"] for r in part.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        constant = next(iter(counts), 1.0)
         return lambda x: F.lit(constant)
+    prior = counts[1.0] / sum(counts.values())
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(part)
     forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
-    roots = [forest._java_obj.trees()[i].rootNode() for i in range(trees)]
-
-    def written(node, f: list[Column]) -> Column:
-        if node.subtreeDepth() == 0:
-            stats = list(node.impurityStats().stats())
-            return F.lit(float(stats[1] / (stats[0] + stats[1])))
-        split = node.split()
-        return F.when(f[split.featureIndex()] <= F.lit(float(split.threshold())), written(node.leftChild(), f)).otherwise(written(node.rightChild(), f))
+    path = f"{shared_dir(part.sparkSession)}/leafmill-{uuid.uuid4().hex}/forest"
+    forest.save(path)  # its nodes are a table: at most 2 ** (depth + 1) rows a tree
+    nodes = {(r.treeID, r.nodeData.id): r.nodeData for r in part.sparkSession.read.parquet(f"{path}/data").collect()}
+
+    def written(tree: int, at: int, f: list[Column]) -> Column:
+        node = nodes[tree, at]
+        if node.leftChild < 0:
+            total = sum(node.impurityStats)
+            return F.lit(float(node.impurityStats[1] / total if total else prior))
+        low = f[node.split.featureIndex] <= F.lit(float(node.split.leftCategoriesOrThreshold[0]))
+        return F.when(low, written(tree, node.leftChild, f)).otherwise(written(tree, node.rightChild, f))
 
     def score(x: Callable[[str], Column]) -> Column:
-        f = x.ready() if isinstance(x, Ready) else list(features(x).values())
-        return reduce(lambda a, b: a + b, [written(r, f) for r in roots]) / trees
+        f = x.ready() if isinstance(x, Ready) else list(features(x, words).values())
+        return reduce(lambda a, b: a + b, [written(t, 0, f) for t in range(trees)]) / trees
 
     return score
 
 
-def scored(d: DataFrame, score: Callable, threshold: float = 0.5, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def scored(d: DataFrame, score: Callable, words: list[str], threshold: float = 0.5, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``d`` (text, source, found) with ``found`` given ``p`` and ``secret``."""
 
     def with_features(x: Column) -> Column:
         get = lambda n: F.col("source") if n == "source" else x[n]
-        return F.struct(x.start.alias("start"), x["rank"].alias("rank"), x.candidate.alias("candidate"), F.struct(*[c.alias(n) for n, c in features(get).items()]).alias("features"))
+        return F.struct(x.start.alias("start"), x["rank"].alias("rank"), x.candidate.alias("candidate"), F.struct(*[c.alias(n) for n, c in features(get, words).items()]).alias("features"))
 
     d = d.withColumn("found", F.transform("found", with_features))
     d = d.withColumn("found", F.transform("found", lambda x: F.struct(x.start.alias("start"), x["rank"].alias("rank"), x.candidate.alias("candidate"), score(Ready(x)).alias("p"))))
@@ -182,18 +221,14 @@ def scored(d: DataFrame, score: Callable, threshold: float = 0.5, kinds: tuple[K
     return d.withColumn("found", F.transform("found", lambda x: F.struct(x.start.alias("start"), F.length(x.candidate).alias("length"), F.get(names, x["rank"]).alias("kind"), x.p.alias("p"), (x.p >= threshold).alias("secret"))))
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by what named them: 1 where the pattern itself marks a secret, 0 elsewhere."""
-    return found.withColumn("label", F.col("marked").cast("int"))
-
-
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, text, source, and ``found``: array of (start, length, kind, p, secret) for each row of ``docs``.
 
-    ``labelled`` are findings with a label; left out, the documents' own findings under ``weak_labels``.  Null
+    ``labelled`` are findings with a label; left out, those ``planted`` among the documents' words.  Null
     texts have no findings, repeated rows the same ones each; other columns are left out."""
-    score = train(weak_labels(findings(docs)) if labelled is None else labelled)
-    return scored(located(columns_of(docs, doc_id="doc_id", text="text", source="source")), score, threshold)
+    words = dictionary(docs)
+    score = train(planted(docs) if labelled is None else labelled, words)
+    return scored(located(columns_of(docs, doc_id="doc_id", text="text", source="source")), score, words, threshold)
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as c
 from leafmill.llm import quality, secrets
 from tests.helpers import SMALL
@@ -19,9 +21,13 @@ def test_stages(spark):
     ids = sorted(left)
     want = {ids[i] for i, (_, top) in enumerate(brute([texts[i] for i in ids], k=5)) if i == top}
     assert {r.doc_id for r in single.select("doc_id").collect()} == want and single.columns == docs.columns
+    token = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(' token = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('" end'))).otherwise(" plain end")
+    single = c.stage(single.withColumn("text", F.concat("text", token)), "t")
     clean = c.stage(c.secret_scan(spark, single, SMALL), "s")
     assert clean.count() == single.count() and clean.columns == docs.columns
-    assert not secrets.findings(clean).where("marked").count()
+    known = {r.candidate for r in secrets.findings(single).where("kind <> 'opaque'").select("candidate").collect()}
+    left_in = [r.text for r in clean.select("text").collect() if any(part[i : i + 16] in r.text for part in known for i in range(len(part) - 15))]
+    assert known and not left_in
     mixed = c.stage(c.source_mix(spark, clean, SMALL), "m")
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
     out = c.token_ids(spark, mixed, SMALL)
