@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; all documents stay."""
-    found = secrets.scan(carried(docs, "text", "source"), labelled=secrets.weak_labels(secrets.findings(docs)))
+    found = secrets.scan(carried(docs, "text", "source"), labelled=secrets.planted(docs))
     clean = secrets.redacted(F.col("text"), F.col("found"))
     return found.select(clean.alias("_clean"), "doc_id.*").select(*[F.col("_clean").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
