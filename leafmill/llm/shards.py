@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import columns_of, stage, table
@@ -42,22 +42,35 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(c: Column, kind: str) -> Column:
-    """An order-preserving number: numbers as they are, text by its first six bytes, null below all."""
-    if kind == "string":
-        c = F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0"), 16, 10)
-    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+def text_cuts(df: DataFrame, dim: str, parts: int) -> list[str]:
+    """The values at which equal shares of the rows end, from the counts of all values in order.
+
+    Values are sorted in ranges; a sum per range and the cuts reach the driver, no more."""
+    counts = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("n"))
+    counts = stage(counts.orderBy("value").withColumn("range", F.spark_partition_id()), "values")
+    sums = counts.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()
+    total = sum(r.n for r in sums)
+    before = {r["range"]: sum(q.n for q in sums[:i]) for i, r in enumerate(sums)}
+    if not total:
+        return []
+    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("range")]
+    end = start + F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    share = lambda upto: F.floor(upto * F.lit(parts) / F.lit(total))
+    cut = counts.withColumn("end", end).where((share(F.col("end")) > share(F.col("end") - F.col("n"))) & (F.col("end") < total))
+    return sorted((r.value for r in cut.select("value").collect()), key=lambda v: v.encode())
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int, accuracy: int = 1000) -> DataFrame:
-    """Adds ``_cell``, an array with a number below 2**bits per dimension.  The cuts are quantiles from
-    sketches of bounded size over all rows; only the 2**bits - 1 cuts a dimension reach the driver."""
-    kinds = dict(df.dtypes)
-    numbers = {c: as_number(F.col(c), kinds[c]) for c in dims}
+    """Adds ``_cell``, an array with a number below 2**bits per dimension; nulls are in cell 0.  The cuts of numbers are
+    quantiles from sketches of bounded size over all rows, those of texts come from the counts of whole values; only the
+    2**bits - 1 cuts a dimension reach the driver."""
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    numbers = [c for c in dims if c not in texts]
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    row = df.agg(*[F.percentile_approx(F.when(numbers[c] > F.lit(float("-inf")), numbers[c]), shares, accuracy).alias(c) for c in dims]).first()
-    cuts = {c: sorted(set(row[c] or [])) for c in dims}
-    cell = [sum((F.when(numbers[c] > v, 1).otherwise(0) for v in cuts[c]), F.lit(0)) for c in dims]
+    row = df.agg(F.count("*"), *[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(c) for c in numbers]).first()
+    cuts = {c: sorted(set(row[c] or [])) if c in numbers else text_cuts(df, c, 2**bits) for c in dims}
+    value = {c: F.col(c).cast("double") if c in numbers else F.col(c) for c in dims}
+    cell = [sum((F.when(value[c] > F.lit(v), 1).otherwise(0) for v in cuts[c]), F.lit(0)) for c in dims]
     return df.withColumn("_cell", F.array(*cell))
 
 
