@@ -28,9 +28,11 @@ def count_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-leafmill-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")

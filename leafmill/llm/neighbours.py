@@ -167,14 +167,18 @@ def search(ids: np.ndarray, x: np.ndarray, index: Index, qid: np.ndarray, q: np.
     return who, best_id[who, col], best[who, col]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 64, to: int = 8, p: float = 0.95, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int | None = None, to: int = 8, p: float = 0.95, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query among ``vectors`` (both:
     vec_id, embedding), itself left out.
 
-    Vectors that are null, zero, of another length than ``dims`` or hold null or non-finite components take no part,
-    as rows or as queries.  Equal scores go by smaller vec_id; repeated ids are rows of their own, but a
+    Vectors that are null, zero, of another length than ``dims`` (left out: the most frequent one, of equals the
+    smallest) or hold null or non-finite components take no part, as rows or as queries.  Equal scores go by smaller vec_id; repeated ids are rows of their own, but a
     query meets none with its own id.  Fewer candidates than k: all of them.  No rows: no result."""
     spark = vectors.sparkSession
+    if dims is None:
+        lengths = columns_of(vectors, embedding="embedding").where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count()
+        row = lengths.orderBy(F.col("count").desc(), "n").first()
+        dims = row.n if row else 1
     x = usable(vectors, dims)
     n, norm2 = x.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -206,10 +210,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 64,
     blocks = stage(dealt.groupBy("cell", "part").applyInPandas(packed, "cell long, part int, ids binary, matrix binary, low binary, high binary"), "blocks")
     # cells are at most as many as sampled rows, so the table of their boxes has a bound
     boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in blocks.select("cell", "low", "high").collect() if n <= BLOCK * SAMPLE else cell_boxes(blocks, to):
-        low, high = np.frombuffer(r.low), np.frombuffer(r.high)
-        was = boxes.get(r.cell, (low, high))
-        boxes[r.cell] = np.minimum(was[0], low), np.maximum(was[1], high)
+    for r in cell_boxes(blocks, to):
+        boxes[r.cell] = np.frombuffer(r.low), np.frombuffer(r.high)
     names = np.array(sorted(boxes))
     spans = spark.sparkContext.broadcast((names, np.array([boxes[c][0] for c in names]), np.array([boxes[c][1] for c in names])))
 
@@ -222,8 +224,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 64,
 
     def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         i, (cells, low, high) = index.value, spans.value
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for s in range(0, len(batch), 256):  # a few queries against all cells at a time
+                b = batch.iloc[s : s + 256]
                 q, bound = unpack(b"".join(b["query"]), dims, "<f8"), b["bound"].to_numpy(float)
                 reach = np.where(np.isnan(bound), np.inf, limit * np.maximum(i.norm2 + (q * q).sum(1) - 2 * bound, 0))
                 near = (box_distance(i.project(q, False), low, high) <= reach[:, None]) & (cells[None, :] != b["cell"].to_numpy()[:, None])
@@ -261,7 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 64,
 
 
 def cell_boxes(blocks: DataFrame, to: int) -> list:
-    """A row per cell where blocks are too many to look at one by one."""
+    """A row per cell: the box around its blocks."""
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"cell": b["cell"].iloc[0], "low": unpack(b"".join(b["low"]), to, "<f8").min(0).tobytes(), "high": unpack(b"".join(b["high"]), to, "<f8").max(0).tobytes()}])

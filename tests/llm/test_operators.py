@@ -87,6 +87,35 @@ def test_shards(spark, texts, k):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
 
 
+def test_text_dimensions_are_cut_by_whole_values(spark):
+    """Names that share a long beginning fall into cells of about equal counts; nulls are in the first."""
+    names = [f"https://example.org/same/beginning/{i:02d}" for i in range(32)] + ["", "é"]
+    rows_ = [(i, names[i % len(names)] if i % 10 else None, i % 7) for i in range(3400)]
+    d = spark.createDataFrame(rows_, "doc_id long, source string, size long").repartition(3)
+    cells = shards.quantised(d, ["source", "size"], 4).collect()
+    by_name = {}
+    for r in cells:
+        by_name.setdefault(r.source, set()).add(r._cell[0])
+    assert all(len(v) == 1 for v in by_name.values()) and by_name[None] == {0}
+    order = sorted((n for n in by_name if n is not None), key=str.encode)
+    assert [by_name[n] for n in order] == sorted((by_name[n] for n in order), key=min)
+    assert max(Counter(r._cell[0] for r in cells).values()) <= 3400 / 16 * 3 and len({r._cell[0] for r in cells}) >= 14
+    assert shards.text_cuts(d.where("source is null"), "source", 16) == []
+
+
+def test_op9_columns(spark):
+    """Sizes, checksums and shards of the query against Python."""
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = registry.QUERIES["op9_sharding"](spark, SMALL).collect()
+    assert len(got) == len(texts) and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    assert all(r["size"] == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in counts)
+
+
 def test_tokens(spark):
     import sentencepiece
     from leafmill.llm.common import tokenizer_file
