@@ -8,8 +8,8 @@ coordinate it shares and skipped in all others.
 - Texts with equal shingle sets are one class; only its smallest id is posted.
 - Each document is first compared with the smallest documents of its lists (those it collides with most), which
   costs one or two pairs a document however long a list is, and joins most of a large group.
-- What is left are lists whose documents are still in different components.  A long one (a common line, say) is
-  dealt out anew by a second shared coordinate, of which any pair has one in the prefix and the coordinate after it.
+- What is left are lists whose documents are still in different components.  A long one of many components (a common line,
+  say) is dealt out anew by a second shared coordinate, of which any pair has one in the prefix and the coordinate after it.
 - Documents outside a list's largest component meet those of the list that have a fitting size, in blocks of bounded
   size; signatures are compared first, and only where pairs above the match threshold remain the texts follow, are
   compared exactly, and each block returns the links that join components - never all pairs.
@@ -32,6 +32,9 @@ from leafmill.llm.shingles import mixed, shingle_sets
 COORDINATES = 64
 #: Documents of a list that meet in one block, and shingles that they have together.
 BLOCK, BLOCK_SHINGLES = 2048, 1_500_000
+#: Documents outside its largest component from which on a list is dealt out anew by a second coordinate: up to there
+#: each of its rows meets that many others at most, beyond it a row goes to as many lists as there are coordinates.
+OUTSIDE = 8 * BLOCK
 #: Leaders that a document is compared with at first.
 LEADERS = 2
 
@@ -165,8 +168,8 @@ def unresolved(postings: DataFrame, labels: DataFrame, reps: DataFrame, prefix:
     """Postings of lists with more than one component, dealt into groups (GROUP).
 
     Sets of which one is smaller than ``percent`` of the other can't be similar, so a list falls into classes of
-    sizes: a group holds a class and, as upper rows, the next larger one.  A list of over BLOCK rows falls into
-    those of a second coordinate (c2, v2).  Every document is once a target, those outside the largest component
+    sizes: a group holds a class and, as upper rows, the next larger one.  A list with over OUTSIDE
+    rows outside its largest component falls into those of a second coordinate (c2, v2).  Every document is once a target, those outside the largest component
     are in every block as asking ones."""
     p = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     own = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("int")
@@ -184,8 +187,9 @@ def unresolved(postings: DataFrame, labels: DataFrame, reps: DataFrame, prefix:
                 yield out.assign(c2=c2.astype(np.int32), v2=sig[row, c2].astype(np.int64))[rows]
 
     kind = "c int, v long, c2 int, v2 long, doc_id long, label long, size int, upper boolean, n_shingles int"
-    long_ = p.where(F.col("n") > BLOCK).select(*rows).join(reps.select("doc_id", "sig"), "doc_id").mapInPandas(second, kind)
-    p = p.where(F.col("n") <= BLOCK).unionByName(open_lists(long_))
+    outside = F.col("n") - F.col("n_top")
+    long_ = p.where(outside > OUTSIDE).select(*rows).join(reps.select("doc_id", "sig"), "doc_id").mapInPandas(second, kind)
+    p = p.where(outside <= OUTSIDE).unionByName(open_lists(long_))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES)).cast("int")
     rest_share = (F.col("n") - F.col("n_top")) / F.col("n")
     p = p.withColumn("blocks", blocks).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * rest_share)).cast("int"))

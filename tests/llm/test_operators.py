@@ -291,10 +291,11 @@ def brute(texts, k=4, percent=80):
     return [(len(s), top(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_near_duplicates(spark, block, monkeypatch):
-    """A large group whose members are alike by 0.4 to 1 in pairs, in one block and in many."""
+@pytest.mark.parametrize("block, outside", [(2048, 16384), (16, 16384), (16, 8)])
+def test_near_duplicates(spark, block, outside, monkeypatch):
+    """A large group whose members are alike by 0.4 to 1 in pairs, in one block, in many, and dealt out anew."""
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "OUTSIDE", outside)
     rnd = random.Random(4)
     base = [f"w{rnd.randrange(300)}" for _ in range(150)]
     texts = [*ODD, *family(rnd, base, 60, 0.012), *family(rnd, base, 60, 0.03), *family(rnd, base, 30, 0.06), "A b C d", "a B c D", "a b"]
