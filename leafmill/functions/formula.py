@@ -36,9 +36,9 @@ class Typed:
         return {"n": lambda: self.c, "s": lambda: sheet.number(self.c), "b": lambda: self.c.cast("double")}[self.kind]()
 
     def text(self) -> Column:
-        if self.kind == "n":  # whole numbers without a point
+        if self.kind == "n":  # whole numbers without a point, others with fifteen significant digits
             whole = (F.floor(self.c) == self.c) & (F.abs(self.c) < 1e15)
-            return F.when(whole, self.c.cast("long").cast("string")).otherwise(self.c.cast("string"))
+            return F.when(whole, self.c.cast("long").cast("string")).otherwise(F.format_string("%.14E", self.c.cast("double")).cast("double").cast("string"))
         return self.c if self.kind == "s" else F.upper(self.c.cast("string"))
 
     def truth(self) -> Column:

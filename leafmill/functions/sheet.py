@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def concat(*xs: Column) -> Column:
 
 
 def column_number(letters: Column) -> Column:
-    """A to 1, Z to 26, AA to 27."""
-    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0).cast("long"), lambda a, c: a * 26 + F.ascii(c) - 64)
+    """A to 1, Z to 26, AA to 27; no letters give 0."""
+    return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * 26 + F.ascii(c) - 64)
 
 
 def column_letters(n: Column) -> Column:
@@ -76,28 +78,35 @@ def column_letters(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda a, _: F.when(a.rest > 0, step(a)).otherwise(a)).text
 
 
-def criterion(c: str, x: Column) -> Column:
-    """``>=10``, ``<>a``, ``ab*``, ``?x``: numbers compare as numbers where both sides are, text without case
-    and with wildcards; an order on text never holds."""
+#: Types whose cells are numbers.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def criterion(c: str | float, x: Column) -> Column:
+    """``>=10``, ``<>a``, ``ab*``, ``?x``: numbers compare with numbers alone, text (and anything else with text)
+    without case and with wildcards; an order on text never holds.  An empty cell is an empty text."""
+    c = str(c)
     for op in ("<=", ">=", "<>", "<", ">", "="):
         if c.startswith(op):
             break
     else:
         op = ""
     value = c[len(op) :]
-    n = x.try_cast("double")
-    try:
-        limit = float(value.replace(",", "."))
-    except ValueError:
-        limit = None
-    if limit is not None:
-        compare = {"<=": n <= limit, ">=": n >= limit, "<": n < limit, ">": n > limit, "<>": n != limit, "=": n == limit, "": n == limit}[op]
-        return F.coalesce(compare, F.lit(op == "<>"))
-    if op in ("<=", ">=", "<", ">"):
-        return F.lit(False)
-    pattern = "".join({"*": ".*", "?": "."}.get(ch, "\\" + ch if not ch.isalnum() and ch != " " and ord(ch) < 128 else ch) for ch in value.lower())
-    same = F.coalesce(F.lower(x.cast("string")), F.lit("")).rlike(f"(?s)^{pattern}$")
-    return ~same if op == "<>" else same
+    kind = F.typeof(x)
+    number = kind.isin(*_NUMBERS) | kind.startswith("decimal")  # known when the plan is made
+    shown = F.regexp_replace(F.coalesce(F.lower(x.cast("string")), F.lit("")), r"\.0$", "")
+    shown = F.when(number, shown).otherwise(F.coalesce(F.lower(x.cast("string")), F.lit("")))
+    if "*" in value or "?" in value:
+        pattern = "".join({"*": ".*", "?": "."}.get(ch, "\\" + ch if not ch.isalnum() and ch != " " and ord(ch) < 128 else ch) for ch in value.lower())
+        same = shown.rlike(f"^{pattern}$")
+    else:
+        same = shown == value.lower()
+    as_text = ~same if op == "<>" else same if op in ("", "=") else F.lit(False)
+    if not re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*", value, re.I):
+        return as_text
+    limit, n = float(value), x.try_cast("double")
+    compare = {"<=": n <= limit, ">=": n >= limit, "<": n < limit, ">": n > limit, "<>": n != limit, "=": n == limit, "": n == limit}[op]
+    return F.when(number & n.isNotNull(), compare).otherwise(as_text)
 
 
 def sum_if(test: Column, target: Column) -> Column:

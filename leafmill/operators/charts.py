@@ -37,9 +37,18 @@ def pie_angles(series: DataFrame, category: list[str], order: list[str], value:
     return d.withColumn("sweep", F.col("share") * 360).withColumn("start", F.sum("sweep").over(w) - F.col("sweep"))
 
 
-def nice_step(low, high, steps: int = 5):
-    """The smallest of 1, 2, 5 times a power of ten that covers the range in at most ``steps`` steps."""
-    raw = (high - low) / F.lit(float(steps))
+def nice_step(low, high, steps: int = 6):
+    """The step of an axis of about ``steps`` steps: 1, 2, 5 or 10 times a power of ten.  A single value
+    gets half of it as range, zero gets one."""
+    span = F.when(low == high, F.when(low == 0, F.lit(1.0)).otherwise(F.abs(low) * 0.5)).otherwise(high - low)
+    raw = span / F.lit(float(steps))
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     part = raw / power
-    return F.when(raw <= 0, F.lit(1.0)).otherwise(F.when(part <= 1, 1.0).when(part <= 2, 2.0).when(part <= 5, 5.0).otherwise(10.0) * power)
+    return F.when(part < 1.5, 1.0).when(part < 3, 2.0).when(part < 7, 5.0).otherwise(10.0) * power
+
+
+def axis(low, high, steps: int = 6):
+    """Struct of ``step``, ``low`` and ``high``: whole steps around the values."""
+    step = nice_step(low, high, steps)
+    top = F.when(low == high, low + F.when(low == 0, F.lit(1.0)).otherwise(F.abs(low) * 0.5)).otherwise(high)
+    return F.struct(step.alias("step"), (F.floor(low / step + 1e-9) * step).alias("low"), (F.ceil(top / step - 1e-9) * step).alias("high"))

@@ -14,28 +14,34 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page"]
 
 
-def baselines(fragments: DataFrame, tolerance: float = 0.55) -> DataFrame:
-    """Adds ``line``: fragments within ``tolerance`` of the size share a line; the line's height is that of its
-    largest fragment so far, and the last eight lines are looked at.  Exact, page by page."""
+def baselines(fragments: DataFrame, like: float = 0.3, unlike: float = 0.55) -> DataFrame:
+    """Adds ``line``: fragments of like size share a line within ``like`` of it, those that differ by more than 15 percent
+    (raised or lowered ones) within ``unlike`` of the larger one.  A line's height is that of its largest fragment;
+    the last eight lines are looked at, not beyond 2.5 sizes.  Fragments without text have none.  Exact, page by page."""
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["y", "x", "frag_no"], ascending=[False, True, True])
         lines: list[list[float]] = []  # y, size of the largest
         out = []
         for y, size in zip(g["y"], g["size"], strict=True):
+            found = None
             for i in range(len(lines) - 1, max(-1, len(lines) - 9), -1):
-                if abs(lines[i][0] - y) <= tolerance * min(size, lines[i][1]) or abs(lines[i][0] - y) <= 0.3 * max(size, lines[i][1]):
-                    if size > lines[i][1]:
-                        lines[i] = [y, size]
+                other, large, small = lines[i], max(size, lines[i][1]), min(size, lines[i][1])
+                if abs(other[0] - y) <= large * (unlike if small < 0.85 * large else like):
+                    found = i
                     break
-            else:
+                if other[0] - y > 2.5 * large:
+                    break
+            if found is None:
                 lines.append([y, size])
-                i = len(lines) - 1
-            out.append(i)
+                found = len(lines) - 1
+            elif size > lines[found][1]:
+                lines[found] = [y, size]
+            out.append(found)
         return g.assign(line=out)
 
     schema = ", ".join(f"{n} {t}" for n, t in fragments.dtypes) + ", line int"
-    return fragments.groupBy(*PAGE).applyInPandas(walk, schema)
+    return fragments.where("text <> ''").groupBy(*PAGE).applyInPandas(walk, schema)
 
 
 def raw_cells(lined: DataFrame, gap: float = 0.6, space: float = 0.12) -> DataFrame:
@@ -59,14 +65,16 @@ def raw_cells(lined: DataFrame, gap: float = 0.6, space: float = 0.12) -> DataFr
 
 
 def table_blocks(cells: DataFrame, reach: float = 3.2, bridge: float = 4.5) -> DataFrame:
-    """Adds ``block`` to the lines that make tables: runs of lines with two cells or more, close to each other;
-    one line of a single cell between two such lines stays in."""
+    """Adds ``block`` to the lines that make tables: runs of lines with two cells or more, close to each other
+    (``reach`` sizes); one line of a single cell between two such lines stays in, if these are at most ``bridge`` sizes apart."""
     lines = cells.groupBy(*PAGE, "line").agg(F.count("*").alias("n"), F.max("y").alias("y"), F.max("size").alias("size"))
     w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc())
-    d = lines.withColumn("_prev", F.lag(F.struct("n", "y")).over(w)).withColumn("_next", F.lead(F.struct("n", "y")).over(w))
-    bridged = (F.col("n") == 1) & (F.col("_prev.n") > 1) & (F.col("_next.n") > 1) & (F.col("_prev.y") - F.col("_next.y") <= F.col("size") * bridge * 2)
+    d = lines.withColumn("_prev", F.lag(F.struct("n", "y", "size")).over(w)).withColumn("_next", F.lead(F.struct("n", "y")).over(w))
+    large = F.greatest("size", "_prev.size")
+    near = F.col("_prev.y") - F.col("y") <= large * reach
+    bridged = (F.col("n") == 1) & (F.col("_prev.n") > 1) & (F.col("_next.n") > 1) & near & (F.col("_prev.y") - F.col("_next.y") <= large * bridge)
     d = d.withColumn("_in", (F.col("n") > 1) | F.coalesce(bridged, F.lit(False)))
-    d = d.withColumn("_far", F.coalesce(F.col("_prev.y") - F.col("y") > F.col("size") * reach, F.lit(True)))
+    d = d.withColumn("_far", F.coalesce(~near, F.lit(True)))
     d = d.withColumn("_start", (F.col("_in") & (F.col("_far") | ~F.coalesce(F.lag("_in").over(w), F.lit(False)))).cast("int"))
     d = d.withColumn("block", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_in")
     rows = F.count_if(F.col("n") > 1).over(Window.partitionBy(*PAGE, "block"))

@@ -203,9 +203,13 @@ def digit_masked_keys(spark, sf_dir):
 WITH l AS ({_LINES}), r AS (SELECT line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE line NOT IN (SELECT line FROM r)) AS kept FROM l GROUP BY 1""")
 def strip_repeated_lines(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    often = boilerplate(lines.where("trim(line) <> ''"), "doc_id", F.col("line"), 10).select(F.col("key").alias("line"), F.lit(True).alias("often"))
-    return lines.join(often, "line", "left").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("often").isNull()).alias("kept"))
+    # lines are counted per document first; blank ones, the most frequent key of all, take no part in the join
+    lines = _lines(spark, sf_dir).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    filled = lines.where("trim(line) <> ''")
+    often = filled.groupBy("line").agg(F.count("*").alias("pages")).where("pages >= 10").select("line", F.lit(True).alias("often"))
+    blank = lines.where("trim(line) = ''").withColumn("often", F.lit(None).cast("boolean"))
+    every = filled.join(often, "line", "left").unionByName(blank)
+    return every.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(F.col("often").isNull(), F.col("n"))), F.lit(0)).alias("kept"))
 
 
 def _list(v: str) -> str:
@@ -228,9 +232,9 @@ def language_confusion(spark, sf_dir):
     return text.with_language(read(spark, sf_dir, "documents"), "text").groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
-@query("fold_key", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(left(text, 200))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query("fold_key", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def fold_key(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.fold_key(F.left("text", F.lit(200))).alias("key"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.fold_key(F.col("text")).alias("key"))
 
 
 @query("sentence_flags", f"""SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(trim(line), '[.!?…:;]["''”’»)\\]]*$')) AS ended,

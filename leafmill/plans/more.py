@@ -63,35 +63,31 @@ def table_bands(spark, sf_dir):
     return styles.banded(c, ["l_orderkey"]).select("l_orderkey", "row", "part")
 
 
-@query("column_bands", """
-WITH RECURSIVE c AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS i, l_quantity AS w FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
-f(l_suppkey, i, used, band) AS (SELECT l_suppkey, i, w, 0 FROM c WHERE i = 1 UNION ALL
-  SELECT c.l_suppkey, c.i, CASE WHEN used + w > 150 THEN w ELSE used + w END, CASE WHEN used + w > 150 THEN band + 1 ELSE band END FROM f JOIN c ON c.l_suppkey = f.l_suppkey AND c.i = f.i + 1)
-SELECT l_suppkey, i, band FROM f""")
+@query("column_bands")
 def column_bands(spark, sf_dir):
-    """Widths packed from left to right into bands of 150."""
+    """Widths packed from left to right into bands of 150; tested against a plain loop."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    c = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select("l_suppkey", F.row_number().over(w).cast("long").alias("i"), F.col("l_quantity").alias("w"))
+    c = read(spark, sf_dir, "lineitem").select("l_suppkey", F.row_number().over(w).cast("long").alias("i"), F.col("l_quantity").alias("w"))
     return styles.column_bands(c, ["l_suppkey"], "i", "w", 150.0)
 
 
 @query("span_compaction", """
-WITH s AS (SELECT conv_id, turn, role = 'assistant' AS bold, left(text, 5) AS t FROM conversations),
+WITH s AS (SELECT conv_id, turn, role = 'assistant' AS bold, text AS t FROM conversations),
 n AS (SELECT *, CASE WHEN coalesce(lag(bold) OVER w <> bold, true) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM n)
 SELECT conv_id, run::BIGINT AS run, bold, string_agg(t, '' ORDER BY turn) AS t FROM r GROUP BY ALL""")
 def span_compaction(spark, sf_dir):
-    s = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("bold"), F.left("text", F.lit(5)).alias("t"))
+    s = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("bold"), F.col("text").alias("t"))
     return styles.compacted(s, ["conv_id"], "turn", "bold", "t")
 
 
 @query("html_blocks", """
-WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'h1' WHEN 'user' THEN 'p' ELSE 'ul' END AS kind, replace(replace(left(text, 20), '&', '&amp;'), '<', '&lt;') AS t FROM conversations),
+WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'h1' WHEN 'user' THEN 'p' ELSE 'ul' END AS kind, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS t FROM conversations),
 n AS (SELECT *, kind = 'ul' AND coalesce(lag(kind) OVER w <> kind, true) AS o, kind = 'ul' AND coalesce(lead(kind) OVER w <> kind, true) AS c FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, string_agg(CASE WHEN o THEN '<ul>' ELSE '' END || CASE WHEN kind = 'ul' THEN '<li>' || t || '</li>' ELSE '<' || kind || '>' || t || '</' || kind || '>' END || CASE WHEN c THEN '</ul>' ELSE '' END, '' ORDER BY turn) AS html FROM n GROUP BY 1""")
 def html_blocks(spark, sf_dir):
     kind = F.when(F.col("role") == "system", "h1").when(F.col("role") == "user", "p").otherwise("ul")
-    return styles.html_blocks(read(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), F.left("text", F.lit(20)).alias("text")), ["conv_id"], "turn")
+    return styles.html_blocks(read(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), "text"), ["conv_id"], "turn")
 
 
 @query("sheet_names", """
@@ -121,10 +117,10 @@ def page_fit(spark, sf_dir):
 
 @query("file_names", r"""
 WITH u AS (SELECT page_id, strlen(html) AS n, regexp_replace(url, '^https?://', '') AS p FROM pages)
-SELECT page_id, regexp_replace(string_split(p, '/')[-1], '\.[^.]*$', '') AS base, CASE WHEN n < 1024 THEN n || ' B' ELSE (n * 10 // 1024) // 10 || '.' || (n * 10 // 1024) % 10 || ' KB' END AS size FROM u WHERE n < 1048576""")
+SELECT page_id, regexp_replace(string_split(p, '/')[-1], '\.[^.]*$', '') AS base, CASE WHEN n < 1024 THEN n || ' B' WHEN n >= 1048576 THEN (n * 10 // 1048576) // 10 || '.' || (n * 10 // 1048576) % 10 || ' MB' ELSE (n * 10 // 1024) // 10 || '.' || (n * 10 // 1024) % 10 || ' KB' END AS size FROM u""")
 def file_names(spark, sf_dir):
     n, p = F.octet_length("html"), F.regexp_replace("url", "^https?://", "")
-    return read(spark, sf_dir, "pages").where(n < 1048576).select("page_id", drawing.base_name(p).alias("base"), drawing.byte_size(n).alias("size"))
+    return read(spark, sf_dir, "pages").select("page_id", drawing.base_name(p).alias("base"), drawing.byte_size(n).alias("size"))
 
 
 @query("text_colour", """
@@ -168,12 +164,12 @@ def page_number_lines(spark, sf_dir):
 
 @query("line_joins", """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l)
-SELECT doc_id, md5(string_agg(CASE WHEN next IS NULL THEN line WHEN line LIKE '%-' AND regexp_matches(next, '^[a-zß-öø-ÿ]') THEN left(line, (length(line) - 1)::INT) ELSE line || ' ' END, '' ORDER BY i)) AS joined_md5
-FROM n WHERE line <> '' OR true GROUP BY 1 HAVING bool_and(line <> '')""")
+n AS (SELECT *, lead(line) OVER w AS next, bool_and(line = '') OVER w AS ahead FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, md5(string_agg(CASE WHEN ahead THEN '' WHEN next IS NULL THEN line WHEN line LIKE '%-' AND regexp_matches(next, '^[a-zß-öø-ÿ]') THEN left(line, (length(line) - 1)::INT) ELSE line || ' ' END, '' ORDER BY i)) AS joined_md5
+FROM n GROUP BY 1""")
 def line_joins(spark, sf_dir):
-    """Lines to running text, hyphens joined; documents without blank lines."""
+    """Lines to running text, hyphens joined; blank lines before the first other one are dropped."""
     from leafmill.operators.tables import joined_lines
 
-    d = read(spark, sf_dir, "documents").withColumn("ls", F.split("text", "\n")).where(F.forall("ls", lambda s: s != ""))
-    return d.select("doc_id", F.md5(joined_lines(F.col("ls"))).alias("joined_md5"))
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.md5(joined_lines(F.split("text", "\n"))).alias("joined_md5"))

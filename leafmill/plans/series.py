@@ -47,13 +47,13 @@ def pie_angles(spark, sf_dir):
 
 @query("densified_months", """
 WITH p AS (SELECT o_orderpriority, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS idx, count(*) AS n FROM orders
-           WHERE o_orderkey % 7 = 0 AND o_orderdate >= TIMESTAMP '1992-01-01' GROUP BY 1, 2),
+           WHERE o_orderdate IS NOT NULL GROUP BY 1, 2),
 f AS (SELECT o_orderpriority, unnest(range(max(idx) + 1)) AS idx FROM p GROUP BY 1)
 SELECT f.o_orderpriority, f.idx::BIGINT AS idx, p.n FROM f LEFT JOIN p USING (o_orderpriority, idx)""")
 def densified_months(spark, sf_dir):
-    """Orders of a rare kind per month, months without any included."""
+    """Orders of each priority per month, months without any included."""
     idx = ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1).cast("long")
-    d = read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderdate") >= F.lit("1992-01-01").cast("timestamp_ntz")))
+    d = read(spark, sf_dir, "orders").where("o_orderdate is not null")
     d = d.groupBy("o_orderpriority", idx.alias("idx")).agg(F.count("*").alias("n"))
     top = d.groupBy("o_orderpriority").agg((F.max("idx") + 1).alias("count"))
     return charts.densify(d.join(top, "o_orderpriority"), ["o_orderpriority"], "idx", "n", "count")
@@ -61,12 +61,14 @@ def densified_months(spark, sf_dir):
 
 @query("axis_scale", """
 WITH r AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1),
-s AS (SELECT *, (high - low) / 5.0 AS raw FROM r), t AS (SELECT *, pow(10.0, floor(log10(raw))) AS p FROM s WHERE raw > 0)
-SELECT p_brand, CASE WHEN raw / p <= 1 THEN 1.0 WHEN raw / p <= 2 THEN 2.0 WHEN raw / p <= 5 THEN 5.0 ELSE 10.0 END::DOUBLE * p AS step FROM t
-UNION ALL SELECT p_brand, 1.0::DOUBLE FROM s WHERE NOT raw > 0""")
+e AS (SELECT p_brand, low, CASE WHEN low <> high THEN high WHEN low = 0 THEN 1 ELSE low + abs(low) / 2 END AS high FROM r),
+s AS (SELECT *, (high - low) / 6.0::DOUBLE AS raw FROM e), t AS (SELECT *, pow(10.0, floor(log10(raw))) AS p FROM s),
+u AS (SELECT *, (CASE WHEN raw / p < 1.5 THEN 1.0 WHEN raw / p < 3 THEN 2.0 WHEN raw / p < 7 THEN 5.0 ELSE 10.0 END)::DOUBLE * p AS step FROM t)
+SELECT p_brand, step, floor(low / step + 1e-9) * step AS axis_low, ceil(high / step - 1e-9) * step AS axis_high FROM u""")
 def axis_scale(spark, sf_dir):
     d = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
-    return d.select("p_brand", charts.nice_step(F.col("low"), F.col("high")).alias("step"))
+    d = d.select("p_brand", charts.axis(F.col("low"), F.col("high")).alias("a"))
+    return d.select("p_brand", "a.step", F.col("a.low").alias("axis_low"), F.col("a.high").alias("axis_high"))
 
 
 @query("floor_percentile", """
@@ -124,15 +126,15 @@ def contrast_stretch(spark, sf_dir):
     return d.select("event_id", rounded(stats.stretched(F.col("value"), F.col("lo"), F.col("hi")), 6).alias("stretched"))
 
 
-@query("sheet_aggregates", """
-SELECT event_type, coalesce(sum(floor(value)), 0)::DOUBLE AS total, coalesce(product(CASE WHEN value > 1 THEN 1.0 ELSE 1.0 END), 1.0) AS product_, min(value) AS low, max(value) AS high,
+@query("sheet_aggregates", f"""
+SELECT event_type, coalesce(sum(floor(value)), 0)::DOUBLE AS total, {rounded_sql('coalesce(product(1 + value / 1e9), 1.0)', 6)} AS product_, min(value) AS low, max(value) AS high,
   median(value) AS middle, count(value) AS numbers, count(*) FILTER (WHERE props <> '') AS filled, sum(floor(value)) / count(value) AS mean FROM events GROUP BY 1""")
 def sheet_aggregates(spark, sf_dir):
     """Sum, product, min, max, median, count, counta and average of a column of numbers, by sheet."""
     whole = F.floor("value").cast("double")
     return read(spark, sf_dir, "events").groupBy("event_type").agg(
         F.coalesce(F.sum(whole), F.lit(0.0)).alias("total"),
-        F.coalesce(F.product(F.when(F.col("value") > 1, 1.0).otherwise(1.0)), F.lit(1.0)).alias("product_"),
+        rounded(F.coalesce(F.product(1 + F.col("value") / 1e9), F.lit(1.0)), 6).alias("product_"),
         F.coalesce(F.min("value"), F.lit(0.0)).alias("low"),
         F.coalesce(F.max("value"), F.lit(0.0)).alias("high"),
         F.median("value").alias("middle"),
@@ -200,10 +202,10 @@ def text_functions(spark, sf_dir):
 
 
 @query("column_letters", """
-SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INT) WHEN p_partkey <= 702 THEN chr((64 + (p_partkey - 1) // 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT)
-  ELSE chr((64 + ((p_partkey - 1) // 26 - 1) // 26)::INT) || chr((65 + ((p_partkey - 1) // 26 - 1) % 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) END AS letters, p_partkey AS number
-FROM part WHERE p_partkey BETWEEN 1 AND 18278""")
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey <= 0 THEN 0 WHEN p_partkey <= 26 THEN 1 WHEN p_partkey <= 702 THEN 2 WHEN p_partkey <= 18278 THEN 3 WHEN p_partkey <= 475254 THEN 4 WHEN p_partkey <= 12356630 THEN 5 ELSE 6 END AS len FROM part),
+s AS (SELECT *, p_partkey - [1, 27, 703, 18279, 475255, 12356631][len] AS off FROM n)
+SELECT p_partkey, array_to_string(list_transform(range(len), lambda i: chr((65 + (off // (26 ** (len - 1 - i))::BIGINT) % 26)::INT)), '') AS letters, p_partkey AS number FROM s""")
 def column_letters(spark, sf_dir):
-    """Numbers to column letters and back, over the three-letter columns a sheet has."""
-    d = read(spark, sf_dir, "part").where("p_partkey between 1 and 18278").select("p_partkey", sheet.column_letters(F.col("p_partkey")).alias("letters"))
+    """Numbers to column letters and back."""
+    d = read(spark, sf_dir, "part").select("p_partkey", sheet.column_letters(F.col("p_partkey")).alias("letters"))
     return d.withColumn("number", sheet.column_number(F.col("letters")))

@@ -28,13 +28,12 @@ def records(text: Column, sep: Column) -> Column:
     """Array of arrays of cells: quotes open at the start of a cell, ``""`` is a quote, any line end counts."""
     one = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", "")
     quoted = F.when(sep == ";", ";").when(sep == "\t", "\\t").otherwise(",")
-    cell = F.concat(F.lit('(?:^|(?<=[\n'), quoted, F.lit(']))("(?:[^"]|"")*"|[^\n'), quoted, F.lit("]*)(?=$|[\n"), quoted, F.lit("])"))
-    cells = F.regexp_extract_all(one, cell, F.lit(0))
-    ends = F.split(F.regexp_replace(one, '"(?:[^"]|"")*"', ""), "\n")
-    width = F.transform(ends, lambda line: F.length(line) - F.length(F.replace(line, sep, F.lit(""))) + 1)
-    before = F.transform(width, lambda _, i: F.aggregate(F.slice(width, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    value = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-    return F.transform(F.arrays_zip(before.alias("b"), width.alias("w")), lambda x: F.transform(F.slice(cells, x.b + 1, x.w), value))
+    cell = F.concat(F.lit('(?:^|(?<=[\n'), quoted, F.lit(']))("(?:[^"]|"")*"|[^\n'), quoted, F.lit("]*)(\\z|[\n"), quoted, F.lit("])"))
+    cells, ends = F.regexp_extract_all(one, cell, F.lit(1)), F.regexp_extract_all(one, cell, F.lit(2))
+    stops = F.filter(F.transform(ends, lambda e, i: F.when((e == "\n") | (e == ""), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), F.transform(stops, lambda i: i + 1))
+    value = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(stops, lambda stop, i: F.transform(F.slice(cells, F.get(starts, i) + 1, stop - F.get(starts, i) + 1), value))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:

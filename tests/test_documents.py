@@ -168,3 +168,43 @@ def test_page_breaks_and_labels(spark):
     assert [r.text for r in tables.chapter_labels(heads).orderBy("page", "pos").collect()] == ["CHAPTER IV: The Sea", "Chapter 5", "Alone"]
     cells = spark.createDataFrame([(1, 0, 0, "restart"), (1, 1, 0, "continue"), (1, 2, 0, None), (1, 0, 1, None)], "t int, row int, col int, merge string")
     assert {(r.row, r.col): r.rows for r in tables.vertical_spans(cells, ["t"]).collect()} == {(0, 0): 2, (2, 0): 1, (0, 1): 1}
+
+
+def page(spark, *frags):
+    rows = [("d", 0, i, t, float(x), float(y), w, size, False) for i, (t, x, y, w, size) in enumerate(frags)]
+    return spark.createDataFrame(rows, "doc_id string, page int, frag_no int, text string, x double, y double, width double, size double, bold boolean")
+
+
+def test_baselines_by_size(spark):
+    f = page(spark, ("a", 0, 100, 10.0, 10.0), ("b", 20, 95.5, 10.0, 10.0), ("sup", 32, 104.0, 5.0, 6.0), ("c", 0, 97.5, 5.0, 10.0), ("", 0, 50, 0.0, 10.0))
+    got = {r.text: r.line for r in tables.baselines(f).collect()}
+    # 4.5 apart at one size are two lines; a small raised one joins; 2.5 apart is within 0.3 of the size
+    assert got["a"] == got["sup"] == got["c"] != got["b"] and "" not in got
+
+
+def test_far_rows_do_not_bridge(spark):
+    row = lambda y: [(f"l{y}", 0, y, 20.0, 10.0), (f"r{y}", 100, y, 20.0, 10.0)]
+    near = page(spark, *row(500), *row(484), ("one", 0, 468, 20.0, 10.0), *row(452), *row(436))
+    far = page(spark, *row(500), *row(484), ("one", 0, 454, 20.0, 10.0), *row(424), *row(408))
+    blocks = lambda f: {r.block for r in tables.table_blocks(tables.raw_cells(tables.baselines(f))).collect()}
+    assert len(blocks(near)) == 1 and len(blocks(far)) == 2
+
+
+def test_column_bands_against_a_loop(spark):
+    from leafmill import plans
+    from tests.helpers import SMALL
+
+    li = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").collect()
+    got = {(r.l_suppkey, r.i): r.band for r in plans.QUERIES["column_bands"](spark, SMALL).collect()}
+    by = {}
+    for r in sorted(li, key=lambda r: (r.l_suppkey, r.l_orderkey, r.l_linenumber, r.l_partkey)):
+        by.setdefault(r.l_suppkey, []).append(r.l_quantity)
+    want = {}
+    for k, widths in by.items():
+        used = band = 0
+        for i, w in enumerate(widths, 1):
+            if i > 1 and used + w > 150:
+                used, band = 0, band + 1
+            used += w
+            want[k, i] = band
+    assert got == want
