@@ -34,6 +34,48 @@ def lightness(c: Column) -> Column:
     return (F.greatest(c["r"], c["g"], c["b"]) + F.least(c["r"], c["g"], c["b"])) / F.lit(510.0)
 
 
+def with_lightness(c: Column, target: Column) -> Column:
+    """The colour (r, g, b) of the same hue and saturation at another lightness, 0 to 1 (beyond: clamped)."""
+    high, low = F.greatest(c["r"], c["g"], c["b"]) / F.lit(255.0), F.least(c["r"], c["g"], c["b"]) / F.lit(255.0)
+    l0, spread, l1 = (high + low) / 2, high - low, F.least(F.lit(1.0), F.greatest(F.lit(0.0), target))
+    # a channel lies at a share of the way from the lowest to the highest, which a change of lightness keeps
+    room = lambda x: F.lit(1.0) - F.abs(2 * x - 1)
+    width = F.when(spread == 0, 0.0).otherwise(spread / room(l0) * room(l1))
+    share = lambda n: F.when(spread == 0, 0.0).otherwise((c[n] / F.lit(255.0) - low) / spread)
+    return F.struct(*[((l1 - width / 2 + share(n) * width) * 255).alias(n) for n in "rgb"])
+
+
+def tinted(c: Column, tint: Column) -> Column:
+    """A sheet's tint: above 0 lighter, below darker, by lightness."""
+    light = lightness(c)
+    return with_lightness(c, F.when(tint < 0, light * (1 + tint)).otherwise(light * (1 - tint) + tint))
+
+
+#: Other names of a theme's colours, and the colours of a file without a theme.
+THEME_NAMES = {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2"}
+THEME = {
+    "dk1": "000000", "lt1": "ffffff", "dk2": "44546a", "lt2": "e7e6e6", "accent1": "4472c4", "accent2": "ed7d31",
+    "accent3": "a5a5a5", "accent4": "ffc000", "accent5": "5b9bd5", "accent6": "70ad47", "hlink": "0563c1", "folHlink": "954f72",
+}
+
+
+def theme_colour(name: Column, theme: dict[str, str] | None = None) -> Column:
+    """Six digits of a scheme colour, by its own or its other name; black for unknown ones."""
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    real = F.coalesce(F.try_element_at(table(THEME_NAMES), name), name)
+    return F.coalesce(F.try_element_at(table(theme or THEME), real), F.lit("000000"))
+
+
+def modulated(c: Column, mod: Column, off: Column) -> Column:
+    """Lightness times ``mod`` plus ``off`` (null: 1 and 0)."""
+    return with_lightness(c, lightness(c) * F.coalesce(mod, F.lit(1.0)) + F.coalesce(off, F.lit(0.0)))
+
+
+def moved(box: Column, sx: Column, sy: Column, tx: Column, ty: Column) -> Column:
+    """A box (x, y, w, h) of a group in the coordinates around it."""
+    return F.struct((box["x"] * sx + tx).alias("x"), (box["y"] * sy + ty).alias("y"), (box["w"] * sx).alias("w"), (box["h"] * sy).alias("h"))
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
 
