@@ -97,3 +97,50 @@ def referenced(references: DataFrame, cells: DataFrame, book: list[str]) -> Data
     at = cells.select(*book, F.lower("sheet").alias("_s"), "row", "col", F.col("value").cast("string").alias("value"))
     d = references.withColumn("_s", F.lower("sheet")).join(names, [*book, "_s"], "left").join(at, [*book, "_s", "row", "col"], "left")
     return d.withColumn("value", F.when(F.col("_there").isNull(), "#REF!").otherwise(F.col("value"))).drop("_s", "_there")
+
+
+def heading_levels(headings: DataFrame, doc: list[str], near: float = 0.75) -> DataFrame:
+    """``level`` 1 to 3 of headings (at: their order; page, size, large, text, and pages, how many the document has).
+
+    Sizes of large headings less than ``near`` apart are one group, that of the first of them; groups rank by size.  Of 20
+    pages or more, a group of one or two headings in the first tenth is the cover's: it takes no rank unless all are
+    such, and the level of the next smaller group, never 1.  Headings of body size come below all ranks, but chapters
+    are level 1 where there are none.  Only a document's distinct sizes are folded."""
+    sizes = headings.where("large").groupBy(*doc, "size").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.max("page").alias("last"), F.max("pages").alias("pages"))
+    kind = "array<struct<size:double,n:bigint,last:bigint,pages:bigint>>"
+    seen = F.sort_array(F.collect_list(F.struct("at", F.col("size").cast("double").alias("size"), "n", F.col("last").cast("bigint").alias("last"), F.col("pages").cast("bigint").alias("pages"))))
+
+    def put(groups, s):
+        new = F.struct(s["size"], s["n"], s["last"], s["pages"])
+        place = F.array_position(F.transform(groups, lambda g: F.abs(g["size"] - s["size"]) < near), True)
+        joined = F.transform(groups, lambda g, i: F.when(i + 1 == place, F.struct(g["size"].alias("size"), (g["n"] + s["n"]).alias("n"), F.greatest(g["last"], s["last"]).alias("last"), g["pages"].alias("pages"))).otherwise(g))
+        return F.when(place > 0, joined).otherwise(F.concat(groups, F.array(new).cast(kind)))
+
+    cover = lambda g: (g["pages"] >= 20) & (g["n"] <= 2) & (g["last"] < g["pages"] * 0.1)
+    groups = sizes.groupBy(*doc).agg(seen.alias("_s")).select(*doc, F.aggregate("_s", F.array().cast(kind), put).alias("_g"))
+    real = F.filter("_g", lambda g: ~cover(g))
+    ranks = groups.select(*doc, F.sort_array(F.transform(F.when(F.size(real) > 0, real).otherwise(F.col("_g")), lambda g: g["size"]), asc=False).alias("_r"))
+    d = headings.join(ranks, doc, "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<double>")))
+    place = F.array_position(F.transform("_r", lambda x: F.abs(x - F.col("size")) < near), True)
+    above = F.size(F.filter("_r", lambda x: x > F.col("size")))
+    large = F.when(place > 0, place).otherwise(F.greatest(F.lit(2), above + 1))
+    plain = F.when(text.chapter_word(F.col("text")) & (F.size("_r") == 0), 1).otherwise(F.size("_r") + 1)
+    return d.withColumn("level", F.least(F.lit(3), F.when(F.col("large"), large).otherwise(plain)).cast("int")).drop("_r")
+
+
+def chapter_starts(documents: DataFrame, outline: DataFrame, headings: DataFrame, doc: list[str], every: int = 15) -> DataFrame:
+    """Where chapters begin: strategy, page, y, title.
+
+    From the outline (``main_entries``) if two entries are left; else the headings of the first level of which there are
+    two at least and a third of the pages (four) at most; else every so many pages.  ``documents`` has pages, from 0 on."""
+    entries = main_entries(outline, doc)
+    two = entries.groupBy(*doc).agg(F.count("*").alias("_n")).where("_n >= 2").select(*doc)
+    h = headings.groupBy(*doc, "level").agg(F.count("*").alias("_n")).join(documents.select(*doc, "pages"), doc)
+    fits = h.where((F.col("_n") >= 2) & (F.col("_n") <= F.greatest(F.lit(4), F.ceil(F.col("pages") / 3)))).groupBy(*doc).agg(F.min("level").alias("level"))
+    fits = fits.join(two, doc, "left_anti")
+    rest = documents.join(two, doc, "left_anti").join(fits, doc, "left_anti").where("pages > 0")
+    row = lambda df, strategy, y, title: df.select(*doc, F.lit(strategy).alias("strategy"), F.col("page").cast("long").alias("page"), y.cast("double").alias("y"), title.cast("string").alias("title"))
+    pages = rest.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages").cast("long") - 1, F.lit(every).cast("long"))))
+    a = row(entries.join(two, doc, "left_semi"), "outline", F.col("y"), F.col("title"))
+    b = row(headings.join(fits, [*doc, "level"], "left_semi"), "headings", F.col("y"), F.col("title"))
+    return a.unionByName(b).unionByName(row(pages, "pages", F.lit(None), F.lit(None)))

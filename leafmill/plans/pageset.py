@@ -258,3 +258,37 @@ WITH {_B} SELECT page, box_no, x * 2 + 5 AS x, y * 0.5 - 3 AS y, w * 2 AS w, h *
 def group_boxes(spark, sf_dir):
     box = drawing.moved(F.struct("x", "y", "w", "h"), F.lit(2.0), F.lit(0.5), F.lit(5.0), F.lit(-3.0))
     return _boxes(spark, sf_dir).select("page", "box_no", box.alias("m")).select("page", "box_no", "m.*")
+
+
+def _headings(spark, sf_dir):
+    """Orders as headings of their customers' documents of 30 pages."""
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc"), k.alias("at"), (k % 30).alias("page"), F.lit(30).alias("pages"), (11 + k * 7 % 23 / 2).cast("double").alias("size"), (k % 4 > 0).alias("large"),
+        F.when(k % 5 == 0, F.concat(F.lit("Chapter "), k.cast("string"))).otherwise(F.col("o_orderpriority")).alias("text"),
+    )
+
+
+@query("heading_levels")
+def heading_levels(spark, sf_dir):
+    """Tested against a plain walk."""
+    return lines.heading_levels(_headings(spark, sf_dir), ["doc"]).select("doc", "at", "level")
+
+
+@query("chapter_starts", """
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderkey % 30 AS page, o_orderkey // 30 AS n FROM orders), d AS (SELECT c_custkey AS doc, 31 + c_custkey % 3 AS pages FROM customer),
+e AS (SELECT doc, min(k)::VARCHAR AS title, page FROM o WHERE doc % 3 = 1 GROUP BY doc, page), two AS (SELECT doc FROM e GROUP BY 1 HAVING count(*) >= 2),
+h AS (SELECT doc, (k % 3 + 1)::INT AS level, page, k FROM o WHERE doc % 3 < 2), l AS (SELECT doc, level, count(*) AS n FROM h GROUP BY 1, 2),
+f AS (SELECT doc, min(level) AS level FROM l JOIN d USING (doc) WHERE n >= 2 AND n <= greatest(4, ceil(pages / 3)) AND doc NOT IN (SELECT doc FROM two) GROUP BY 1)
+SELECT doc, 'outline' AS strategy, page, NULL::DOUBLE AS y, title FROM e WHERE doc IN (SELECT doc FROM two)
+UNION ALL SELECT doc, 'headings', page, k::DOUBLE, k::VARCHAR FROM h JOIN f USING (doc, level)
+UNION ALL SELECT doc, 'pages', p, NULL, NULL FROM (SELECT doc, unnest(range(0, pages, 15)) AS p FROM d WHERE doc NOT IN (SELECT doc FROM two) AND doc NOT IN (SELECT doc FROM f))""")
+def chapter_starts(spark, sf_dir):
+    """Customers as documents: a third has an outline, two thirds headings."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (k % 30).alias("page"), k.alias("k"))
+    first = o.where("doc % 3 = 1").groupBy("doc", "page").agg(F.min("k").cast("string").alias("title"))
+    outline = first.select("doc", "page", F.lit(None).cast("double").alias("y"), F.lit(0).alias("level"), "title")
+    heads = o.where("doc % 3 < 2").select("doc", (F.col("k") % 3 + 1).cast("int").alias("level"), "page", F.col("k").cast("double").alias("y"), F.col("k").cast("string").alias("title"))
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), (31 + F.col("c_custkey") % 3).alias("pages"))
+    return lines.chapter_starts(d, outline, heads, ["doc"])

@@ -100,3 +100,28 @@ def test_areas_references_and_pitch(spark):
     assert {x.n: x.value for x in lines.referenced(r, c, []).collect()} == {1: "a", 2: None, 3: "#REF!"}
     p = spark.createDataFrame([(1, 1, i, 100.0 - y, 10.0, "C", 10.0) for i, y in enumerate((0, 12, 24, 36, 56))] + [(2, 1, 0, 5.0, 10.0, "C", 10.0)], "doc long, page long, line long, y double, size double, side string, body double")
     assert {x.doc: round(x.pitch, 6) for x in lines.line_pitch(p, ["doc"]).collect()} == {1: 1.2, 2: 1.25}
+
+
+def test_heading_levels_equal_a_walk(spark):
+    got = {(r.doc, r.at): r.level for r in plans.QUERIES["heading_levels"](spark, SMALL).collect()}
+    docs, want = {}, {}
+    for k, doc in duck().sql("select o_orderkey, o_custkey from orders order by 1").fetchall():
+        docs.setdefault(doc, []).append((k, k % 30, 11 + k * 7 % 23 / 2, k % 4 > 0, k % 5 == 0))
+    for doc, all_ in docs.items():
+        groups = []
+        for _, page, size, large, _ in all_:
+            if large:
+                if not (g := next((g for g in groups if abs(g[0] - size) < 0.75), None)):
+                    groups.append([size, 1, page])
+                else:
+                    g[1], g[2] = g[1] + 1, max(g[2], page)
+        ranks = sorted((g[0] for g in ([g for g in groups if not (g[1] <= 2 and g[2] < 3)] or groups)), reverse=True)
+        for k, _, size, large, chapter in all_:
+            place = next((i + 1 for i, x in enumerate(ranks) if abs(x - size) < 0.75), max(2, sum(x > size for x in ranks) + 1))
+            want[doc, k] = min(3, place if large else 1 if chapter and not ranks else len(ranks) + 1)
+    assert got == want and set(want.values()) == {1, 2, 3}
+
+
+def test_chapter_words(spark):
+    words = {"Chapter 1": True, " PARTE II": True, "Particle": False, "Índice": True, "A chapter": False, "": False}
+    assert {t: one(spark, text.chapter_word(F.lit(t))) for t in words} == words
