@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL."""
 
-from leafmill.llm import chat, mixture, near_dups, neighbours, passages, pieces, quality, secrets, shards, token_counts
+from leafmill.llm import byte_bpe, chat, hard_negatives, mixture, near_dups, neighbours, passages, pieces, quality, secrets, shards, spelling, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_sharding": shards.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
