@@ -134,27 +134,6 @@ def continued(blocks: DataFrame) -> DataFrame:
     return d.withColumn("table_no", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_p")
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """doc_id, page, par_no, text from lines (doc_id, page, line, text, x0, x1, y, size): a new paragraph after a larger
-    gap, an indent, a change of size, a short line that ends a sentence, or at a list mark; a hyphen at a line's end joins."""
-    from leafmill.functions.text import MARK
-
-    page = Window.partitionBy(*PAGE)
-    w = page.orderBy(F.col("y").desc(), "line")
-    d = lines.withColumn("_p", F.lag(F.struct("text", "x0", "x1", "y", "size")).over(w)).withColumn("_step", (F.lag("y").over(w) - F.col("y")) / F.col("size"))
-    d = d.withColumn("_usual", F.median("_step").over(page)).withColumn("_right", F.max("x1").over(page)).withColumn("_left", F.min("x0").over(page))
-    new = (
-        (F.col("_step") > F.col("_usual") + 0.45)
-        | (F.abs(F.col("size") - F.col("_p.size")) > 0.7)
-        | F.col("text").rlike(MARK)
-        | ((F.col("x0") - F.col("_p.x0") > 6) & (F.col("x0") - F.col("_left") > 6))
-        | ((F.col("_p.x1") < F.col("_right") - 4 * F.col("size")) & F.col("_p.text").rlike("[.!?:;…]$"))
-    )
-    d = d.withColumn("par_no", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    xs = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("k"), "line", "text"))), lambda x: x.text)
-    return d.groupBy(*PAGE, "par_no").agg(joined_lines(xs).alias("text"), F.max("size").alias("size"))
-
-
 def joined_lines(xs: Column) -> Column:
     """Lines as one text: a hyphen before a small letter goes, anything else meets with a space."""
     small = "^[a-zß-öø-ÿ]"
@@ -178,19 +157,6 @@ def headings(pars: DataFrame) -> DataFrame:
     return d.drop("_h", "b", "body")
 
 
-def running_lines(lines: DataFrame, zone: float = 0.1, share: float = 0.25) -> DataFrame:
-    """Lines without headers and footers: what stands in the top or bottom zone under the same key (digits masked) on
-    two pages and a quarter of them at least, and bare page numbers there, go."""
-    from leafmill.functions.text import masked, page_number
-
-    d = lines.withColumn("_z", F.when(F.col("y") > F.col("h") * (1 - zone), "top").when(F.col("y") < F.col("h") * zone, "bottom")).withColumn("_k", masked(F.col("text")))
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
-    often = d.where("_z is not null").select("doc_id", "_z", "_k", "page").distinct().groupBy("doc_id", "_z", "_k").agg(F.count("*").alias("_n"))
-    often = often.join(pages, "doc_id").where(F.col("_n") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") * share))).select("doc_id", "_z", "_k")
-    d = d.where(F.col("_z").isNull() | ~page_number(F.col("text")))
-    return d.join(often, ["doc_id", "_z", "_k"], "left_anti").select(*lines.columns)
-
-
 def shared_boxes(boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Components of boxes (doc_id, page, key, x, y, w, h) that touch: union-find inside a page."""
 
@@ -283,25 +249,6 @@ def gutter(lines: DataFrame, most: float = 0.8) -> DataFrame:
     return runs.groupBy(*PAGE).agg(F.max_by(F.struct("g0", "g1"), F.struct(F.col("g1") - F.col("g0"), -F.col("g0"))).alias("g")).select(*PAGE, "g.g0", "g.g1")
 
 
-def joined_across_pages(pars: DataFrame) -> DataFrame:
-    """doc_id, page, par_no, text of paragraphs (doc_id, page, par_no, text, size) with those that a page break parts joined:
-    the first one of the next page goes on a like-sized last one that ends in a hyphen, or ends open while it starts small.
-
-    A joined paragraph keeps its first page, so it never reaches a third: in a run of breaks every other one joins."""
-    from leafmill.functions.text import ends_sentence, starts_lower
-
-    w = Window.partitionBy("doc_id").orderBy("page", "par_no")
-    d = pars.withColumn("_p", F.lag(F.struct("page", "text", "size")).over(w))
-    open_ = F.col("_p.text").endswith("-") | (~ends_sentence(F.col("_p.text")) & starts_lower(F.col("text")))
-    d = d.withColumn("_j", F.coalesce((F.col("page") == F.col("_p.page") + 1) & (F.abs(F.col("size") - F.col("_p.size")) <= 0.7) & open_, F.lit(False)))
-    d = d.withColumn("_run", F.sum((~F.col("_j")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("page", "par_no")) - 1  # 0 begins the run
-    d = d.withColumn("_new", (place % 2 == 0).cast("int")).withColumn("_block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    xs = F.transform(F.sort_array(F.collect_list(F.struct("page", "par_no", "text"))), lambda x: x.text)
-    first = F.min(F.struct("page", "par_no", "size"))
-    return d.groupBy("doc_id", "_block").agg(first.alias("f"), joined_lines(xs).alias("text")).select("doc_id", "f.page", "f.par_no", "text", "f.size")
-
-
 def chapter_labels(heads: DataFrame) -> DataFrame:
     """Headings (doc_id, page, pos, text) where a bare "Chapter 3" and the heading after it on its page are one."""
     label = r"(?i)^\s*(chapter|part|cap[ií]tulo|parte|chapitre|kapitel|teil)\s+([0-9]+|[ivxlc]+)\.?\s*$"

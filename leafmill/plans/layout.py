@@ -30,15 +30,3 @@ def reading_order(spark, sf_dir):
     side = F.when(F.col("role") == "system", "C").when(F.col("role") == "user", "I").otherwise("D")
     d = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("line"), F.lit(50.0).alias("x0"), (F.lit(9000.0) - F.col("turn") * 14).alias("y"), side.alias("column"))
     return tables.reading_order(d).select(F.col("doc_id").alias("conv_id"), F.col("line").alias("turn"), F.col("place").cast("long").alias("place"))
-
-
-@query("running_headers", """
-WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
-SELECT c.conv_id, c.turn, 'body' AS part FROM conversations c UNION ALL SELECT c.conv_id, c.turn, 'header' FROM conversations c JOIN n USING (conv_id) WHERE n < 2""")
-def running_headers(spark, sf_dir):
-    """Every turn a page with a numbered header and a page number: both go, the body stays."""
-    line = lambda p, t, y: F.struct(F.lit(p).alias("part"), t.alias("text"), F.lit(float(y)).alias("y"))
-    turn = (F.col("turn") + 1).cast("string")
-    ls = F.array(line("header", F.concat(F.lit("Talk "), turn), 590), line("body", F.concat(F.lit("line "), turn), 300), line("number", turn, 10))
-    d = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.explode(ls).alias("l"), F.lit(600.0).alias("h")).select("doc_id", "page", "h", "l.*")
-    return tables.running_lines(d).select(F.col("doc_id").alias("conv_id"), F.col("page").alias("turn"), "part")

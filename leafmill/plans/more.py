@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import drawing, text
 from leafmill.operators import styles
-from leafmill.plans.common import read, rounded, rounded_sql
+from leafmill.plans.common import PAGE_NUMBER, page_parts_sql, read, rounded, rounded_sql
 from leafmill.plans.series import query
 from leafmill.sources import sinks
 
@@ -153,10 +153,9 @@ def scanned_documents(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) < 20 * F.count("*")).alias("scanned"), low.alias("set_in_columns"))
 
 
-@query("page_number_lines", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, lower(trim(line)) AS t FROM l)
-SELECT doc_id, count(*) AS n FROM t WHERE regexp_matches(t, '^(?:(?:page|p\.|pág\.|página|seite)\s*)?[-–—\[(]?\s*(?:\d{1,4}|(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*[-–—\])]?(?:\s*(?:/|of|de)\s*\d{1,4})?$')
-  AND regexp_matches(t, '\d|[ivxlc]') GROUP BY 1""")
+@query("page_number_lines", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n FROM {page_parts_sql("l", "line")} WHERE {PAGE_NUMBER} GROUP BY 1""")
 def page_number_lines(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(text.page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import drawing, text
 from leafmill.operators import boxes, lines
-from leafmill.plans.common import read, rounded, rounded_sql
+from leafmill.plans.common import PAGE_NUMBER, page_parts_sql, read, rounded, rounded_sql
 from leafmill.plans.series import query
 
 _B = """b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS box_no, l_partkey AS key,
@@ -74,9 +74,8 @@ _F = """f AS (SELECT doc_id AS doc, i // 10 AS page, trim(t) AS t, (i * 37 % 100
 @query("own_characters", f"""
 WITH {_F}, p AS (SELECT DISTINCT doc, page FROM f), n AS (SELECT doc, count(*) AS n FROM p GROUP BY 1),
 c AS (SELECT doc, t FROM f JOIN n USING (doc) WHERE t <> '' GROUP BY doc, t, n HAVING n >= 4 AND count(DISTINCT page) >= greatest(3, ceil(n * 0.25)))
-SELECT doc, page, sum(CASE WHEN t <> '' AND c.doc IS NULL AND y BETWEEN 10 AND 90 AND NOT regexp_full_match(t, '[0-9]{{1,4}}|[-–—\\[(][0-9]{{1,4}}[-–—\\])]?|[0-9]{{1,4}}[-–—\\])]')
-  AND NOT (regexp_full_match(lower(t), '[-–—\\[(]?c{{0,3}}(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})[-–—\\])]?') AND regexp_matches(lower(t), '[ivxlc]'))
-  AND NOT regexp_full_match(t, '[0-9]{{1,4}}/[0-9]{{1,4}}') THEN length(t) ELSE 0 END)::BIGINT AS own, sum(length(t))::BIGINT AS total FROM f LEFT JOIN c USING (doc, t) GROUP BY 1, 2""")
+SELECT doc, page, sum(CASE WHEN t <> '' AND c.doc IS NULL AND y BETWEEN 10 AND 90 AND NOT {PAGE_NUMBER} THEN length(t) ELSE 0 END)::BIGINT AS own, sum(length(t))::BIGINT AS total
+FROM {page_parts_sql("f", "t")} LEFT JOIN c USING (doc, t) GROUP BY 1, 2""")
 def own_characters(spark, sf_dir):
     """Ten words of a document to a page, strewn over its height."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("i", "text"))

@@ -27,21 +27,10 @@ def test_running_text_is_no_table(spark):
     assert tables.tables(fragments(spark, rows)).count() == 0
 
 
-def test_paragraphs_and_headings(spark):
-    line = "doc_id long, page int, line int, text string, x0 double, x1 double, y double, size double"
-    rows, y = [], 700.0
-    for i, (t, size, gap) in enumerate([("Title", 24, 40), ("first line goes exam-", 11, 14), ("ple and on to here", 11, 14), ("the third line of it.", 11, 40), ("second paragraph runs", 11, 14), ("over two lines here.", 11, 14)]):
-        rows.append((1, 1, i, t, 50.0, 50.0 + 200, y, float(size)))
-        y -= gap
-    got = tables.headings(tables.paragraphs(spark.createDataFrame(rows, line))).orderBy("par_no").collect()
-    assert [r.text for r in got] == ["Title", "first line goes example and on to here the third line of it.", "second paragraph runs over two lines here."]
-    assert [r.level for r in got] == [1, None, None]
-
-
-def test_running_headers_go(spark):
-    rows = [(1, p, t, y, 600.0) for p in range(4) for t, y in ((f"Report {p}", 590.0), ("body text", 300.0), (str(p + 1), 10.0))]
-    got = tables.running_lines(spark.createDataFrame(rows, "doc_id long, page int, text string, y double, h double"))
-    assert {r.text for r in got.collect()} == {"body text"} and got.count() == 4
+def test_headings(spark):
+    pars = [(1, 1, 1, "Title", 24.0), (1, 1, 2, "first line goes on and on to here, the third line of it.", 11.0), (1, 1, 3, "Part", 16.0)]
+    got = tables.headings(spark.createDataFrame(pars, "doc_id long, page int, par_no int, text string, size double")).orderBy("par_no").collect()
+    assert [r.level for r in got] == [1, None, 2]
 
 
 def test_continued_tables(spark):
@@ -160,15 +149,6 @@ def test_archives_documents_and_bytes(spark, tmp_path):
     assert [r[0] for r in pdfs.select(office.protection(F.col("c"))).collect()] == ["open", "protected", "invalid"]
 
 
-def test_page_breaks_and_labels(spark):
-    pars = [(1, 1, 0, "starts here and", 10.0), (1, 2, 0, "goes on and", 10.0), (1, 3, 0, "not here and", 10.0), (1, 4, 0, "but here.", 10.0), (1, 5, 0, "hyphen-", 10.0), (1, 6, 0, "ated", 14.0)]
-    got = tables.joined_across_pages(spark.createDataFrame(pars, "doc_id long, page int, par_no int, text string, size double"))
-    assert [(r.page, r.text) for r in got.orderBy("page").collect()] == [(1, "starts here and goes on and"), (3, "not here and but here."), (5, "hyphen-"), (6, "ated")]
-    heads = spark.createDataFrame([(1, 1, 0, "CHAPTER IV"), (1, 1, 1, "The Sea"), (1, 2, 0, "Chapter 5"), (1, 3, 0, "Alone")], "doc_id long, page int, pos int, text string")
-    assert [r.text for r in tables.chapter_labels(heads).orderBy("page", "pos").collect()] == ["CHAPTER IV: The Sea", "Chapter 5", "Alone"]
-    cells = spark.createDataFrame([(1, 0, 0, "restart"), (1, 1, 0, "continue"), (1, 2, 0, None), (1, 0, 1, None)], "t int, row int, col int, merge string")
-    assert {(r.row, r.col): r.rows for r in tables.vertical_spans(cells, ["t"]).collect()} == {(0, 0): 2, (2, 0): 1, (0, 1): 1}
-
 
 def page(spark, *frags):
     rows = [("d", 0, i, t, float(x), float(y), w, size, False) for i, (t, x, y, w, size) in enumerate(frags)]
@@ -208,3 +188,10 @@ def test_column_bands_against_a_loop(spark):
             used += w
             want[k, i] = band
     assert got == want
+
+
+def test_labels_and_spans(spark):
+    heads = spark.createDataFrame([(1, 1, 0, "CHAPTER IV"), (1, 1, 1, "The Sea"), (1, 2, 0, "Chapter 5"), (1, 3, 0, "Alone")], "doc_id long, page int, pos int, text string")
+    assert [r.text for r in tables.chapter_labels(heads).orderBy("page", "pos").collect()] == ["CHAPTER IV: The Sea", "Chapter 5", "Alone"]
+    cells = spark.createDataFrame([(1, 0, 0, "restart"), (1, 1, 0, "continue"), (1, 2, 0, None), (1, 0, 1, None)], "t int, row int, col int, merge string")
+    assert {(r.row, r.col): r.rows for r in tables.vertical_spans(cells, ["t"]).collect()} == {(0, 0): 2, (2, 0): 1, (0, 1): 1}

@@ -93,7 +93,8 @@ def test_text(spark):
     assert v(text.joined_letters(F.lit("a T I T L E here"))) == "a TITLE here" or v(text.joined_letters(F.lit("T I T L E"))) == "TITLE"
     assert v(text.fold_key(F.lit("  Él, Ñandú! 2"))) == "el nandu 2"
     assert v(text.list_mark(F.lit("1. one")))["ordered"] and not v(text.list_mark(F.lit("• one")))["ordered"] and v(text.list_mark(F.lit("one"))) is None
-    assert [v(text.page_number(F.lit(x))) for x in ("12", "- 3 -", "xiv", "Page 4", "3 / 10", "iiii", "word", "12345")] == [True] * 5 + [False] * 3
+    assert [v(text.page_number(F.lit(x))) for x in ("12", "- 3 -", "xiv", "Page 4", "3 / 10", "mcmx", "Página 12", "Page 3 of 10", "- 7 -", "iv", "3 / 20", "pág. 5")] == [True] * 12
+    assert [v(text.page_number(F.lit(x))) for x in ("iiii", "word", "12345", "(3)", "2020 fue un año", "Capítulo 1", "civil", "hola", "")] == [False] * 9
     assert v(text.roman(F.lit(1994))) == "mcmxciv" and v(text.letters(F.lit(28))) == "bb"
     assert v(sheet.column_number(F.lit("AA"))) == 27 and v(sheet.column_letters(F.lit(703))) == "AAA"
 

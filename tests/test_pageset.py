@@ -58,6 +58,7 @@ def test_fonts(spark):
 def test_contents_lines_and_codes(spark):
     contents = {"Chapter one ..... 12": True, "A . . . 7": True, "Three… 4": True, "It cost 12": False, "And so ...": False}
     assert {t: one(spark, text.contents_line(F.lit(t))) for t in contents} == contents
+    assert [one(spark, text.font(F.lit(n)))["family"] for n in ("TimesNewRomanPSMT", "Open Sans Light", "DejaVuSansMono,Bold", "HelveticaNeueLTStd-Md")] == ["Times New", "Open Sans", "Deja Vu Sans Mono", "Helvetica Neue"]
     assert [one(spark, text.ends_in_page(F.lit(t))) for t in ("Preface xii", "Chapter 12 ", "12", "a 12345")] == [True, True, False, False]
     assert [one(spark, text.language_code(F.lit(t))) for t in ("es-ES", " EN_us ", "pt", "x", "español", "")] == ["es", "en", "pt", None, None, None]
     assert [one(spark, text.similar_titles(F.lit(a), F.lit(b))) for a, b in (("La Canción", "lacancion"), ("Part 1: The sea", "The Sea"), ("One", "Two"), ("!", "?"))] == [True, True, False, False]
