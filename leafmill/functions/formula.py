@@ -235,3 +235,24 @@ def shifted(formula: str, rows: int, columns: int) -> str:
         return f"{m[2]}{out}{m[4]}{row}"
 
     return re.sub(r"""("(?:[^"]|"")*"|'[^']*'!?|[A-Za-z_][A-Za-z0-9_.]*[!(])|(?<![A-Za-z0-9_$])(\$?)([A-Za-z]{1,3})(\$?)([0-9]+)(?![A-Za-z0-9_(])""", moved, formula)
+
+
+#: A reference such as ``$B12``, or what must stay as it is: quoted text and names, sheets and functions.
+_REFERENCE = r"""("(?:[^"]|"")*"|'[^']*'!?|[A-Za-z_][A-Za-z0-9_.]*[!(])|(?<![A-Za-z0-9_$])([$]?[A-Za-z]{1,3}[$]?[0-9]+)(?![A-Za-z0-9_(])"""
+
+
+def shifted_column(formula: Column, rows: Column, columns: Column) -> Column:
+    """``shifted`` as a column, with an offset of each row's own."""
+    between = F.split(formula, _REFERENCE, -1)
+    found = F.regexp_extract_all(formula, F.lit(_REFERENCE), F.lit(0))
+
+    def moved(ref: Column) -> Column:
+        fixed_row = F.contains(F.substr(ref, F.lit(2)), F.lit("$"))
+        fixed_col = F.left(ref, F.lit(1)) == "$"
+        col = sheet.column_number(F.regexp_extract(ref, "[A-Za-z]+", 0)) + F.when(fixed_col, 0).otherwise(columns)
+        row = F.regexp_extract(ref, "[0-9]+$", 0).cast("long") + F.when(fixed_row, 0).otherwise(rows)
+        dollar = lambda c: F.when(c, "$").otherwise("")
+        out = F.concat(dollar(fixed_col), sheet.column_letters(col), dollar(fixed_row), row.cast("string"))
+        return F.when(ref.rlike("^[$]?[A-Za-z]{1,3}[$]?[0-9]+$"), F.when((col < 1) | (row < 1), "#REF!").otherwise(out)).otherwise(ref)
+
+    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(moved(F.get(found, i)), F.lit("")))), "")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.cells import with_shared_formulas
+
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
@@ -73,13 +75,16 @@ def _cells(xml: bytes) -> Iterator[tuple]:
             col = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(ref[0]))) if ref else col + 1
             got = {_local(x.tag): x for x in c}
             raw = got["v"].text if "v" in got else "".join(t.text or "" for t in got["is"].iter() if _local(t.tag) == "t") if "is" in got else None
-            yield row_no, col, c.get("t", "n"), raw, ("=" + (got["f"].text or "")) if "f" in got else None, int(c.get("s", 0))
+            f = got.get("f")
+            shared = int(f.get("si")) if f is not None and f.get("t") == "shared" and (f.get("si") or "").isdigit() else None
+            yield row_no, col, c.get("t", "n"), raw, None if f is None else "=" + (f.text or ""), int(c.get("s", 0)), shared
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row, col, t (n, s, b, e), n, s, b, e, formula, style of every cell of visible sheets.
 
-    Shared strings are a table of their own, joined by index; a missing one is empty text."""
+    Shared strings are a table of their own, joined by index; a missing one is empty text.  Cells that share a formula
+    have it moved to their place."""
     all_ = parts(spark, path, r"xl/(?:workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|worksheets/.*\.xml)")
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,11 +103,12 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for where, part, xml in zip(b["path"], b["part"], b["content"], strict=True):
-                yield pd.DataFrame([(where, part, *c) for c in _cells(xml)], columns=["path", "part", "row", "col", "kind", "raw", "formula", "style"])
+                yield pd.DataFrame([(where, part, *c) for c in _cells(xml)], columns=["path", "part", "row", "col", "kind", "raw", "formula", "style", "shared"]).astype({"shared": "Int32"})
 
     shared = all_.where("part = 'xl/sharedStrings.xml'").mapInPandas(strings, "path string, idx long, text string")
     heads = all_.where("part in ('xl/workbook.xml', 'xl/_rels/workbook.xml.rels')").groupBy("path").applyInPandas(lambda g: next(sheets(iter([g])), pd.DataFrame(columns=["path", "part", "sheet", "sheet_no"])), "path string, part string, sheet string, sheet_no int")
-    raw = all_.where("part like 'xl/worksheets/%'").mapInPandas(cells, "path string, part string, row int, col int, kind string, raw string, formula string, style int")
+    raw = all_.where("part like 'xl/worksheets/%'").mapInPandas(cells, "path string, part string, row int, col int, kind string, raw string, formula string, style int, shared int")
+    raw = with_shared_formulas(raw, ["path", "part"])
     d = raw.join(heads, ["path", "part"]).withColumn("idx", F.when(F.col("kind") == "s", F.col("raw").try_cast("long")))
     d = d.join(shared, ["path", "idx"], "left")
     t = F.when(F.col("kind").isin("s", "str", "inlineStr"), "s").when(F.col("kind") == "b", "b").when(F.col("kind") == "e", "e").otherwise("n")
@@ -111,6 +117,75 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", "sheet", "sheet_no", "row", "col", "t", F.when(F.col("t") == "n", F.col("raw").try_cast("double")).alias("n"), s.alias("s"), F.when(F.col("t") == "b", F.col("raw") == "1").alias("b"), F.when(F.col("t") == "e", F.col("raw")).alias("e"), "formula", "style")
 
 
+def workbook_styles(spark: SparkSession, path: str) -> DataFrame:
+    """path, part (format, font, fill, border or xf), idx and the fields of that part: the style tables of workbooks.
+
+    Colours are those given outright; a border is the sides that have a line."""
+    fields = "code string, font struct<name:string,size:double,bold:boolean,italic:boolean,underline:boolean,strike:boolean,color:string>, color string, borders array<string>, format_id int, font_id int, fill_id int, border_id int, horizontal string, vertical string, wrap boolean, indent int"
+    names = [x.split(" ")[0] for x in re.split(", (?![^<]*>)", fields)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for where, xml in zip(b["path"], b["content"], strict=True):
+                for kind, idx, own in _styles(xml):
+                    rows.append((where, kind, idx, *[own.get(n) for n in names]))
+            out = pd.DataFrame(rows, columns=["path", "part", "idx", *names])
+            yield out.astype({n: "Int32" for n in ("format_id", "font_id", "fill_id", "border_id", "indent")} | {"wrap": "boolean"})
+
+    return parts(spark, path, r"xl/styles\.xml").mapInPandas(read, f"path string, part string, idx int, {fields}")
+
+
+def _styles(xml: bytes) -> Iterator[tuple[str, int, dict]]:
+    root = {_local(e.tag): e for e in ElementTree.fromstring(xml)}
+    children = lambda name: list(root[name]) if name in root else []
+    on = lambda e, off=("0", "false", "none"): e is not None and e.get("val") not in off
+    rgb = lambda e: "#" + e.get("rgb")[-6:].lower() if e is not None and e.get("rgb") else None
+    for e in children("numFmts"):
+        yield "format", int(e.get("numFmtId")), {"code": e.get("formatCode", "General")}
+    for i, e in enumerate(children("fonts")):
+        f = {_local(x.tag): x for x in e}
+        name, size = f.get("name"), f.get("sz")
+        own = {"name": None if name is None else name.get("val"), "size": float(size.get("val", 11)) if size is not None else 11.0, "color": rgb(f.get("color"))}
+        yield "font", i, {"font": own | {k: on(f.get(tag)) for k, tag in (("bold", "b"), ("italic", "i"), ("underline", "u"), ("strike", "strike"))}}
+    for i, e in enumerate(children("fills")):
+        p = next((x for x in e if _local(x.tag) == "patternFill" and x.get("patternType", "none") != "none"), None)
+        c = {} if p is None else {_local(x.tag): x for x in p}
+        yield "fill", i, {"color": rgb(c.get("fgColor")) or (rgb(c.get("bgColor")) if p is not None and p.get("patternType") == "solid" else None)}
+    for i, e in enumerate(children("borders")):
+        sides = {{"start": "left", "end": "right"}.get(_local(x.tag), _local(x.tag)) for x in e if x.get("style", "none") != "none"}
+        yield "border", i, {"borders": [s for s in ("left", "right", "top", "bottom") if s in sides]}
+    for i, e in enumerate(children("cellXfs")):
+        a = next((x for x in e if _local(x.tag) == "alignment"), None)
+        at = {} if a is None else a.attrib
+        ids = {f"{k}_id": int(e.get(tag, 0)) for k, tag in (("format", "numFmtId"), ("font", "fontId"), ("fill", "fillId"), ("border", "borderId"))}
+        yield "xf", i, ids | {"horizontal": at.get("horizontal"), "vertical": at.get("vertical"), "wrap": at.get("wrapText") in ("1", "true"), "indent": int(at.get("indent", 0))}
+
+
+def document_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """path, seq, par_no, kind, text of the body of word documents: text, tab, break, code (of a field), begin, separate,
+    end, note (text is its id).  Hidden and deleted runs give none, but the marks of fields in them."""
+    marks = {"t": "text", "tab": "tab", "br": "break", "cr": "break", "instrText": "code", "footnoteReference": "note", "endnoteReference": "note"}
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for where, xml in zip(b["path"], b["content"], strict=True):
+                for i, p in enumerate(e for e in ElementTree.fromstring(xml).iter() if _local(e.tag) == "p"):
+                    for r in (e for e in p.iter() if _local(e.tag) == "r"):
+                        hidden = any(_local(x.tag) == "vanish" for x in r.iter())
+                        for x in r:
+                            tag, val = _local(x.tag), {_local(k): v for k, v in x.attrib.items()}
+                            if tag == "fldChar":
+                                rows.append((where, len(rows), i, val.get("fldCharType"), None))
+                            elif tag in marks and not hidden:
+                                rows.append((where, len(rows), i, marks[tag], val.get("id") if marks[tag] == "note" else x.text or ""))
+                    rows.append((where, len(rows), i, "paragraph", None))
+            yield pd.DataFrame(rows, columns=["path", "seq", "par_no", "kind", "text"])
+
+    return parts(spark, path, r"word/document\.xml").mapInPandas(read, "path string, seq long, par_no int, kind string, text string")
+
+
 def document_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """path, par_no, style, text of the body of word documents; hidden and deleted runs are skipped."""
 
