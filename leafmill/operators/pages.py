@@ -29,20 +29,30 @@ def range_pages(text: Column, total: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(range_pairs(text, total), lambda p: F.sequence(p["first"], p["last"])))))
 
 
-def islands(df: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Runs of consecutive numbers: first, last, size."""
-    d = df.select(*keys, F.col(n).cast("long").alias("_n")).distinct()
-    w = Window.partitionBy(*keys).orderBy("_n")
-    d = d.withColumn("_i", F.col("_n") - F.row_number().over(w))
-    return d.groupBy(*keys, "_i").agg(F.min("_n").alias("first"), F.max("_n").alias("last"), F.count("*").alias("size")).drop("_i")
-
+def islands(df: DataFrame, keys: list[str], n: str, stretch: int = 4096) -> DataFrame:
+    """Runs of consecutive numbers: first, last, size.
 
-def range_text(df: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """The pages of each key as text: ``1-3, 5``."""
-    runs = islands(df, keys, n)
+    Numbers are windowed by key and stretch, so that one key may hold most rows; only runs that reach the border of a
+    stretch, two of each at most, are then joined by key."""
+    d = df.select(*keys, F.col(n).cast("long").alias("_n")).distinct().withColumn("_s", F.floor(F.col("_n") / stretch))
+    w = Window.partitionBy(*keys, "_s").orderBy("_n")
+    d = d.withColumn("_i", F.col("_n") - F.row_number().over(w))
+    runs = d.groupBy(*keys, "_s", "_i").agg(F.min("_n").alias("first"), F.max("_n").alias("last"), F.count("*").alias("size"))
+    border = (F.col("first") == F.col("_s") * stretch) | (F.col("last") == (F.col("_s") + 1) * stretch - 1)
+    inner = runs.where(~border).select(*keys, "first", "last", "size")
+    k = Window.partitionBy(*keys).orderBy("first")
+    edge = runs.where(border).withColumn("_new", (F.coalesce(F.lag("last").over(k), F.col("first")) + 1 != F.col("first")).cast("int"))
+    edge = edge.withColumn("_r", F.sum("_new").over(k.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*keys, "_r").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"))
+    return inner.unionByName(edge.drop("_r"))
+
+
+def range_text(df: DataFrame, keys: list[str], n: str, stretch: int = 10_000) -> DataFrame:
+    """The pages of each key as text: ``1-3, 5``; a row for each ``stretch`` of numbers in which runs begin, so texts stay short."""
+    runs = islands(df, keys, n).withColumn("stretch", F.floor(F.col("first") / stretch))
     one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
     xs = F.array_sort(F.collect_list(F.struct("first", one.alias("t"))))
-    return runs.groupBy(*keys).agg(F.array_join(F.transform(xs, lambda x: x.t), ", ").alias("ranges"))
+    return runs.groupBy(*keys, "stretch").agg(F.array_join(F.transform(xs, lambda x: x.t), ", ").alias("ranges"))
 
 
 def select_pages(pages: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def label_islands(spark, sf_dir):
 
 @query("page_range_text", """
 WITH i AS (SELECT quality, toxic, min(doc_id) AS a, max(doc_id) AS b FROM (SELECT quality, toxic, doc_id, doc_id - row_number() OVER (PARTITION BY quality, toxic ORDER BY doc_id) AS i FROM labels) GROUP BY quality, toxic, i)
-SELECT quality, toxic, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM i GROUP BY 1, 2""")
+SELECT quality, toxic, a // 10000 AS stretch, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM i GROUP BY 1, 2, 3""")
 def page_range_text(spark, sf_dir):
     return pages.range_text(read(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id")
 

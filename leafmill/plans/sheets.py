@@ -1,9 +1,9 @@
-"""Shared formulas, cell styles and fields over cells and tokens made of the tables' rows."""
+"""Shared formulas, cell styles, fields and outlines over cells, tokens and nodes made of the tables' rows."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import cells, runs
+from leafmill.operators import cells, outlines, runs
 from leafmill.plans.common import read
 from leafmill.plans.series import query
 
@@ -63,3 +63,17 @@ def field_runs(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("begin", "separate", "end", "text", "begin", "text")))
     d = _ranked(spark, sf_dir).withColumn("kind", F.get(kinds, (F.col("l_partkey") % 6).cast("int")))
     return runs.with_fields(d, ["l_orderkey"], "k").select("l_orderkey", F.col("k").cast("long").alias("k"), "depth", "shown")
+
+
+@query("outline_rows", """
+WITH RECURSIVE n AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_orderkey % 5 AS ord FROM orders),
+p AS (SELECT doc, id, ord, CASE WHEN id = 1 THEN NULL WHEN id % 7 = 6 THEN -1 WHEN id % 11 = 10 THEN id WHEN id % 5 = 0 THEN id - 1 ELSE id // 2 END AS parent FROM n),
+w AS (SELECT doc, id, 0 AS level, [{'o': ord, 'i': id}] AS path FROM p WHERE parent IS NULL OR parent = -1 UNION ALL SELECT p.doc, p.id, level + 1, list_append(path, {'o': p.ord, 'i': p.id}) FROM w JOIN p ON p.doc = w.doc AND p.parent = w.id AND p.id <> p.parent)
+SELECT doc, id, level, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS place FROM w""")
+def outline_rows(spark, sf_dir):
+    """A customer's orders as an outline, with orphans and entries that lie in themselves."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    d = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.row_number().over(w).cast("long").alias("id"), (F.col("o_orderkey") % 5).alias("ord"))
+    i = F.col("id")
+    parent = F.when(i == 1, None).when(i % 7 == 6, -1).when(i % 11 == 10, i).when(i % 5 == 0, i - 1).otherwise(F.floor(i / 2))
+    return outlines.flattened(d.withColumn("parent", parent), ["doc"]).select("doc", "id", F.col("level").cast("int").alias("level"), F.col("place").cast("long").alias("place"))
