@@ -6,6 +6,9 @@ leaves its page.  y points upwards; a box is (x, y, w, h) with its lower left co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +115,45 @@ def placed_among(blocks: DataFrame, tables: DataFrame, doc: list[str]) -> DataFr
     both = blocks.select(*doc, "page", "y", "item", F.lit(0).alias("kind")).unionByName(tables.select(*doc, "page", "y", "item", F.lit(1).alias("kind")))
     w = Window.partitionBy(*doc).orderBy("page", F.col("y").desc(), "kind", "item")
     return both.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def picture_boxes(ops: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page, op_no, key, x, y, w, h: where pictures stand, from drawing operators in their order.
+
+    ``ops``: doc_id, page, op_no, op (save, restore, concat, begin_form, end_form, image, inline, mask), key, matrix (six numbers,
+    for concat and begin_form).  ``pages``: doc_id, page, width, height, view (the page's own matrix, y downwards).  A picture is the
+    unit square under the current matrix; its box is cut to the page (y upwards) and goes below one point.  A restore or end
+    without a beginning leaves the matrix as it is.  Inline pictures and masks are numbered over the page.  The matrices are a
+    stack that grows as it is walked, so a page is a group."""
+
+    times = lambda m, n: [m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3], m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5]]
+
+    def walk(ops: list[dict], wide: float, tall: float, view: list[float]) -> Iterator[tuple]:
+        now, stack, unnamed = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], [], 0
+        for o in ops:
+            op, key, matrix = o["op"], o["key"], o["matrix"]
+            if op in ("save", "begin_form"):
+                stack.append(now)
+            if op in ("restore", "end_form") and stack:
+                now = stack.pop()
+            if op in ("concat", "begin_form") and matrix is not None and len(matrix) == 6:
+                now = times(now, matrix)
+            if op in ("image", "inline", "mask"):
+                m = times(view, now)
+                xs, ys = ([m[i] * u + m[i + 2] * v + m[i + 4] for u in (0, 1) for v in (0, 1)] for i in (0, 1))
+                if op != "image":
+                    key, unnamed = f"{op}:{unnamed}", unnamed + 1
+                x, y = max(0.0, min(xs)), max(0.0, tall - max(ys))
+                w, h = min(wide, max(xs)) - x, min(tall, tall - min(ys)) - y
+                if w >= 1 and h >= 1:
+                    yield o["op_no"], key, x, y, w, h
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, p, *box) for d, p, ops, w, h, v in b.itertuples(index=False) for box in walk(ops, w, h, v)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "op_no", "key", "x", "y", "w", "h"])
+
+    kinds = dict(ops.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, op_no {kinds['op_no']}, key string, x double, y double, w double, h double"
+    page = ops.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("op_no", "op", "key", "matrix"))).alias("ops"))
+    return page.join(pages.select("doc_id", "page", "width", "height", "view"), ["doc_id", "page"]).mapInPandas(run, schema)

@@ -100,3 +100,11 @@ def html_blocks(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
     body = F.concat(wrap(opens, "<", ">"), F.lit("<"), tag, F.lit(">"), escaped(F.col("text")), F.lit("</"), tag, F.lit(">"), wrap(closes, "</", ">"))
     d = blocks.withColumn("_b", body)
     return d.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_b"))), lambda x: x["_b"]), "").alias("html"))
+
+
+def tab_stops(stops: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, kind: the tab stops in effect, from those that each level (0 the most general) and place in it (ord) sets.
+
+    Levels add up; the last that names a position decides, and ``clear`` takes away what earlier ones set there."""
+    last = F.max_by("kind", F.struct("level", "ord"))
+    return stops.groupBy(*keys, "pos").agg(last.alias("kind")).where("kind <> 'clear'")

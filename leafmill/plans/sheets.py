@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import cells, outlines, runs
+from leafmill.operators import boxes, cells, outlines, runs, styles
 from leafmill.plans.common import read
 from leafmill.plans.series import query
 
@@ -77,3 +77,37 @@ def outline_rows(spark, sf_dir):
     i = F.col("id")
     parent = F.when(i == 1, None).when(i % 7 == 6, -1).when(i % 11 == 10, i).when(i % 5 == 0, i - 1).otherwise(F.floor(i / 2))
     return outlines.flattened(d.withColumn("parent", parent), ["doc"]).select("doc", "id", F.col("level").cast("int").alias("level"), F.col("place").cast("long").alias("place"))
+
+
+_OPS = f"""o AS (SELECT l_orderkey AS doc_id, 1 AS page, {_PLACE} AS op_no, ['save', 'restore', 'concat', 'image', 'inline', 'concat', 'begin_form', 'end_form'][l_partkey % 8 + 1] AS op, 'k' || l_suppkey AS key,
+  [1.0 + l_quantity % 5, l_suppkey % 2, 0.0, 1.0 + l_suppkey % 3, l_quantity * 4, l_suppkey % 30 * 10]::DOUBLE[] AS m FROM lineitem)"""
+_TIMES = "[{0}[1]*{1}[1]+{0}[3]*{1}[2], {0}[2]*{1}[1]+{0}[4]*{1}[2], {0}[1]*{1}[3]+{0}[3]*{1}[4], {0}[2]*{1}[3]+{0}[4]*{1}[4], {0}[1]*{1}[5]+{0}[3]*{1}[6]+{0}[5], {0}[2]*{1}[5]+{0}[4]*{1}[6]+{0}[6]]"
+
+
+@query("picture_boxes", f"""
+WITH RECURSIVE {_OPS},
+s AS (SELECT DISTINCT doc_id, 0::BIGINT AS op_no, '' AS op, '' AS key, [1, 0, 0, 1, 0, 0]::DOUBLE[] AS now, []::DOUBLE[][] AS stack, 0 AS n FROM o UNION ALL
+  SELECT o.doc_id, o.op_no, o.op, o.key, CASE WHEN o.op IN ('concat', 'begin_form') THEN {_TIMES.format("now", "o.m")} WHEN o.op IN ('restore', 'end_form') AND len(stack) > 0 THEN stack[-1] ELSE now END,
+    CASE WHEN o.op IN ('save', 'begin_form') THEN list_append(stack, now) WHEN o.op IN ('restore', 'end_form') THEN stack[:-2] ELSE stack END, n + (o.op = 'inline')::INT FROM s JOIN o ON o.doc_id = s.doc_id AND o.op_no = s.op_no + 1),
+b AS (SELECT doc_id, op_no, CASE op WHEN 'image' THEN key ELSE 'inline:' || (n - 1) END AS key, now[5] + least(0, now[1]) + least(0, now[3]) AS xa, now[5] + greatest(0, now[1]) + greatest(0, now[3]) AS xb, now[6] + least(0, now[2]) + least(0, now[4]) AS ya, now[6] + greatest(0, now[2]) + greatest(0, now[4]) AS yb FROM s WHERE op IN ('image', 'inline'))
+SELECT doc_id, op_no, key, greatest(0, xa) AS x, greatest(0, ya) AS y, least(400, xb) - greatest(0, xa) AS w, least(600, yb) - greatest(0, ya) AS h FROM b WHERE least(400, xb) - greatest(0, xa) >= 1 AND least(600, yb) - greatest(0, ya) >= 1""")
+def picture_boxes(spark, sf_dir):
+    """An order's lines as drawing operators of a page; the page's own matrix turns y upside down."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    kinds = F.array(*map(F.lit, ("save", "restore", "concat", "image", "inline", "concat", "begin_form", "end_form")))
+    q, s = F.col("l_quantity"), F.col("l_suppkey")
+    m = F.array(*[c.cast("double") for c in (1 + q % 5, s % 2, F.lit(0), 1 + s % 3, q * 4, s % 30 * 10)])
+    ops = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.row_number().over(w).cast("long").alias("op_no"), F.get(kinds, (F.col("l_partkey") % 8).cast("int")).alias("op"), F.concat(F.lit("k"), s).alias("key"), m.alias("matrix"))
+    pages = ops.select("doc_id", "page").distinct().withColumns({"width": F.lit(400.0), "height": F.lit(600.0), "view": F.array(*map(F.lit, (1.0, 0.0, 0.0, -1.0, 0.0, 600.0)))})
+    return boxes.picture_boxes(ops, pages).select("doc_id", "op_no", "key", "x", "y", "w", "h")
+
+
+@query("tab_stops", """
+WITH t AS (SELECT o_custkey, o_orderkey % 4 * 36 AS pos, o_orderkey % 3 AS level, o_orderkey AS ord, ['left', 'clear', 'right'][o_orderkey % 7 % 3 + 1] AS kind FROM orders)
+SELECT o_custkey, pos, kind FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey, pos ORDER BY level DESC, ord DESC) = 1 AND kind <> 'clear'""")
+def tab_stops(spark, sf_dir):
+    """A customer's orders as the tab stops of three levels."""
+    k = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("left", "clear", "right")))
+    d = read(spark, sf_dir, "orders").select("o_custkey", (k % 4 * 36).alias("pos"), (k % 3).alias("level"), k.alias("ord"), F.get(kinds, (k % 7 % 3).cast("int")).alias("kind"))
+    return styles.tab_stops(d, ["o_custkey"])

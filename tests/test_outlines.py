@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import outlines, pages
+from leafmill.operators import boxes, outlines, pages, styles
 
 
 def test_outline_equals_a_walk(spark):
@@ -58,3 +58,34 @@ def test_islands_over_stretches(spark):
     d = spark.createDataFrame([("k", n) for n in ns + ns[:20]], "k string, n long")
     for stretch in (1, 2, 7, 64, 10_000):
         assert sorted(tuple(r)[1:] for r in pages.islands(d, ["k"], "n", stretch).collect()) == want
+
+
+def test_picture_boxes(spark):
+    scale = lambda w, h, x=0, y=0: [float(w), 0.0, 0.0, float(h), float(x), float(y)]
+    turned = [0.0, 50.0, -80.0, 0.0, 200.0, 100.0]  # a quarter turn
+    page = [
+        ("restore", None, None), ("save", None, None), ("concat", None, scale(100, 60, 50, 500)), ("image", "logo", None), ("restore", None, None),
+        ("save", None, None), ("concat", None, scale(2000, 3000, -500, -500)), ("image", "large", None), ("restore", None, None),
+        ("begin_form", None, scale(2, 2, 10, 10)), ("save", None, None), ("concat", None, scale(20, 30, 5, 5)), ("inline", None, None), ("restore", None, None), ("end_form", None, None),
+        ("image", "unit", None), ("save", None, None), ("concat", None, turned), ("mask", None, None), ("restore", None, None), ("end_form", None, None), ("restore", None, None),
+        ("concat", None, scale(0.5, 90)), ("image", "thin", None), ("concat", None, scale(80, 1, 2000)), ("image", "outside", None),
+    ]
+    ops = spark.createDataFrame([(1, 1, i, *o) for i, o in enumerate(page)] + [(1, 2, 0, "save", None, None)], "doc_id int, page int, op_no int, op string, key string, matrix array<double>")
+    pages_ = spark.createDataFrame([(1, p, 400.0, 600.0, [1.0, 0.0, 0.0, -1.0, 0.0, 600.0]) for p in (1, 2)], "doc_id int, page int, width double, height double, view array<double>")
+    got = {r.key: (r.x, r.y, r.w, r.h) for r in boxes.picture_boxes(ops, pages_).collect()}
+    assert got == {"logo": (50, 500, 100, 60), "large": (0, 0, 400, 600), "inline:0": (20, 20, 40, 60), "unit": (0, 0, 1, 1), "mask:1": (120, 100, 80, 50)}
+    assert boxes.picture_boxes(ops.limit(0), pages_).count() == 0
+
+
+def test_tab_stops_equal_a_fold(spark):
+    rng = random.Random(12)
+    rows = [(k, level, n, rng.randrange(5), rng.choice(["left", "right", "clear"])) for k in range(40) for level in range(3) for n in range(rng.randrange(5))]
+    want = {}
+    for k, _, _, pos, kind in rows:  # in the order of levels and places
+        stops = want.setdefault(k, {})
+        stops.pop(pos, None)
+        if kind != "clear":
+            stops[pos] = kind
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "k int, level int, ord int, pos int, kind string")
+    assert {(r.k, r.pos): r.kind for r in styles.tab_stops(d, ["k"]).collect()} == {(k, p): v for k, s in want.items() for p, v in s.items()}
