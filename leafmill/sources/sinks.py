@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed values here and below: the names, namespaces and content types of the file formats.
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 
