@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import formula as _formula
@@ -51,3 +51,21 @@ def styled(cells: DataFrame, styles: DataFrame, book: list[str]) -> DataFrame:
         F.coalesce("_border_borders", F.array().cast("array<string>")).alias("borders"), F.coalesce("_xf_horizontal", F.lit("general")).alias("horizontal"), F.coalesce("_xf_vertical", F.lit("bottom")).alias("vertical"), F.coalesce("_xf_wrap", F.lit(False)).alias("wrap"), F.coalesce("_xf_indent", F.lit(0)).alias("indent"),
     )
     return d.select(*cells.columns, look.alias("look"))
+
+
+def with_overflow(cells: DataFrame, columns: DataFrame, covered: DataFrame, sheet: list[str]) -> DataFrame:
+    """Cells (row, col, text, is_text, size, wrap, horizontal, merged) with ``span``: over how many columns their text runs.
+
+    Text that is set general or left, unwrapped and unmerged, needs 0.62 of its size per character, in pixels, and takes
+    columns to its right until it has room, but stops before the next cell that is filled, merged or ``covered`` (row, col) by a
+    merged one, and at the last of ``columns`` (col, width).  A sheet's columns go along as one array.  Empty cells span one."""
+    wide = columns.groupBy(*sheet).agg(F.sort_array(F.collect_list(F.struct("col", "width"))).alias("_cols"))
+    stops = cells.where((F.coalesce("text", F.lit("")) != "") | F.col("merged")).select(*sheet, "row", "col").unionByName(covered.select(*sheet, "row", "col")).distinct()
+    stops = stops.withColumn("_next", F.lead("col").over(Window.partitionBy(*sheet, "row").orderBy("col")))
+    d = cells.join(stops, [*sheet, "row", "col"], "left").join(wide, sheet, "left")
+    runs_on = F.col("is_text") & (F.coalesce("text", F.lit("")) != "") & ~F.col("wrap") & ~F.col("merged") & F.col("horizontal").isin("general", "left")
+    needed = F.length("text") * F.col("size") * 0.62 * (96 / 72) + 6
+    free = F.filter("_cols", lambda c: (c["col"] >= F.col("col")) & (F.col("_next").isNull() | (c["col"] < F.col("_next"))))
+    start = F.struct(F.lit(0.0).alias("room"), F.lit(0).alias("n"))
+    taken = F.aggregate(free, start, lambda a, c: F.when((a["n"] > 0) & (a["room"] >= needed), a).otherwise(F.struct((a["room"] + c["width"]).alias("room"), (a["n"] + 1).alias("n"))))["n"]
+    return d.select(*[d[c] for c in cells.columns], F.when(F.coalesce(runs_on, F.lit(False)), F.greatest(F.coalesce(taken, F.lit(1)), F.lit(1))).otherwise(1).alias("span"))

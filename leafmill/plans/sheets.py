@@ -111,3 +111,23 @@ def tab_stops(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("left", "clear", "right")))
     d = read(spark, sf_dir, "orders").select("o_custkey", (k % 4 * 36).alias("pos"), (k % 3).alias("level"), k.alias("ord"), F.get(kinds, (k % 7 % 3).cast("int")).alias("kind"))
     return styles.tab_stops(d, ["o_custkey"])
+
+
+@query("text_overflow", f"""
+WITH p AS (SELECT l_orderkey AS sheet, {_PLACE} AS k, l_partkey, l_suppkey, l_quantity FROM lineitem),
+c AS (SELECT sheet, k % 2 AS "row", k * 2 AS col, l_partkey % 60 AS n, l_suppkey % 5 = 0 AS wrap, l_suppkey % 3 AS h, l_quantity = 1 AS merged FROM p),
+w AS (SELECT col, 20.0::DOUBLE + col % 3 * 15 AS width FROM range(1, 17) t(col)),
+s AS (SELECT sheet, "row", col, lead(col) OVER (PARTITION BY sheet, "row" ORDER BY col) AS nxt FROM (SELECT sheet, "row", col FROM c WHERE n > 0 OR merged UNION SELECT sheet, "row", col + 3 FROM c WHERE merged))
+SELECT c.sheet, c."row", c.col, CASE WHEN n = 0 OR wrap OR merged OR h = 2 THEN 1 ELSE greatest(1, (SELECT count(*) FROM w WHERE w.col >= c.col AND (nxt IS NULL OR w.col < nxt) AND (w.col = c.col OR (SELECT sum(width) FROM w v WHERE v.col >= c.col AND v.col < w.col) < n * 11 * 0.62 * (96.0::DOUBLE / 72) + 6))) END::INT AS span
+FROM c LEFT JOIN s USING (sheet, "row", col)""")
+def text_overflow(spark, sf_dir):
+    """A sheet per order, cells two columns apart; a merged cell covers the one three columns on."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.row_number().over(w).cast("long").alias("k"), "l_partkey", "l_suppkey", "l_quantity")
+    c = d.select(
+        "sheet", (F.col("k") % 2).alias("row"), (F.col("k") * 2).alias("col"), F.repeat(F.lit("x"), (F.col("l_partkey") % 60).cast("int")).alias("text"), F.lit(True).alias("is_text"), F.lit(11.0).alias("size"),
+        (F.col("l_suppkey") % 5 == 0).alias("wrap"), F.get(F.array(*map(F.lit, ("general", "left", "center"))), (F.col("l_suppkey") % 3).cast("int")).alias("horizontal"), (F.col("l_quantity") == 1).alias("merged"),
+    )
+    columns = c.select("sheet").distinct().withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(16)))).withColumns({"col": F.col("col").cast("long"), "width": 20.0 + F.col("col") % 3 * 15})
+    covered = c.where("merged").select("sheet", "row", (F.col("col") + 3).alias("col"))
+    return cells.with_overflow(c, columns, covered, ["sheet"]).select("sheet", "row", "col", "span")

@@ -106,3 +106,14 @@ def test_document_runs(spark, tmp_path):
     got = runs.paragraph_texts(office.document_tokens(spark, str(tmp_path)), ["path"]).orderBy("par_no").collect()
     assert [r.text for r in got] == ["See result more.", "a\tb\nlink", "", "over", "paragraphs out"]
     assert [r.notes for r in got] == [[], ["2", "7"], [], [], []]
+
+
+def test_overflow(spark):
+    cell = lambda row, col, n, is_text=True, wrap=False, h="general", merged=False: ("s", row, col, "x" * n, is_text, 12.0, wrap, h, merged)
+    rows = [cell(1, 1, 3), cell(2, 1, 20), cell(3, 1, 20), cell(3, 3, 5), cell(4, 1, 20), cell(4, 4, 0), cell(5, 1, 20, wrap=True), cell(6, 1, 20, h="right"), cell(7, 1, 20, is_text=False), cell(8, 1, 20, merged=True), cell(9, 1, 20, h="left"), cell(10, 4, 99), cell(11, 1, 0), cell(12, 9, 20)]
+    d = spark.createDataFrame(rows, "sheet string, row int, col int, text string, is_text boolean, size double, wrap boolean, horizontal string, merged boolean")
+    columns = spark.createDataFrame([("s", c, 50.0) for c in range(1, 6)], "sheet string, col int, width double")
+    covered = spark.createDataFrame([("s", 9, 2)], "sheet string, row int, col int")
+    got = {(r.row, r.col): r.span for r in cells.with_overflow(d, columns, covered, ["sheet"]).collect()}
+    # 20 characters need 204.4 pixels, five columns; a filled cell, a covered one and the last column stop them
+    assert got == {(1, 1): 1, (2, 1): 5, (3, 1): 2, (3, 3): 1 + (5 * 12 * 0.62 * 96 / 72 + 6 > 50), (4, 1): 5, (4, 4): 1, (5, 1): 1, (6, 1): 1, (7, 1): 1, (8, 1): 1, (9, 1): 1, (10, 4): 2, (11, 1): 1, (12, 9): 1}
