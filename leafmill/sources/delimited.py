@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,7 +44,10 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return d.where(F.exists("cells", lambda c: F.trim(c) != ""))
 
 
-def column_profile(rows: DataFrame, first: int = 200) -> DataFrame:
-    """Width per column (longest of the ``first`` rows, 4 to 60) and whether the sheet is wide."""
+def column_profile(rows: DataFrame, first: int = 200, page: int = 90) -> DataFrame:
+    """path, col, width (longest of the ``first`` rows, 4 to 60) and wide: whether the file's widths together exceed ``page``.
+
+    A file has few columns, so a window over them is small."""
     d = rows.where(F.col("row_no") < first).select("path", F.posexplode("cells").alias("col", "cell"))
-    return d.groupBy("path", "col").agg(F.least(F.lit(60), F.greatest(F.lit(4), F.max(F.length("cell")))).alias("width"))
+    d = d.groupBy("path", "col").agg(F.least(F.lit(60), F.greatest(F.lit(4), F.max(F.length("cell")))).alias("width"))
+    return d.withColumn("wide", F.sum("width").over(Window.partitionBy("path")) > page)

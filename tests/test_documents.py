@@ -195,3 +195,9 @@ def test_labels_and_spans(spark):
     assert [r.text for r in tables.chapter_labels(heads).orderBy("page", "pos").collect()] == ["CHAPTER IV: The Sea", "Chapter 5", "Alone"]
     cells = spark.createDataFrame([(1, 0, 0, "restart"), (1, 1, 0, "continue"), (1, 2, 0, None), (1, 0, 1, None)], "t int, row int, col int, merge string")
     assert {(r.row, r.col): r.rows for r in tables.vertical_spans(cells, ["t"]).collect()} == {(0, 0): 2, (2, 0): 1, (0, 1): 1}
+
+
+def test_column_profile(spark):
+    rows = spark.createDataFrame([("a", 0, ["x", "y" * 70]), ("a", 1, ["x" * 40, "", "z"]), ("b", 0, ["1", "2"]), ("b", 300, ["w" * 50])], "path string, row_no int, cells array<string>")
+    got = {(r.path, r.col): (r.width, r.wide) for r in delimited.column_profile(rows).collect()}
+    assert got == {("a", 0): (40, True), ("a", 1): (60, True), ("a", 2): (4, True), ("b", 0): (4, False), ("b", 1): (4, False)}
