@@ -117,9 +117,15 @@ def unescaped(s: Column) -> Column:
 
 def text_colour(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Colour of the text of a region from pixels (r, g, b with it; r0, g0, b0 without): the mean of those whose
-    contrast is four fifths of the largest or more; null below 90 or for a single one."""
-    d = pixels.withColumn("_d", F.abs(F.col("r") - F.col("r0")) + F.abs(F.col("g") - F.col("g0")) + F.abs(F.col("b") - F.col("b0")))
+    contrast is four fifths of the largest or more, its ends (up to 10, from 245) taken for 0 and 255; null below 90 or for a single one."""
+    d = pixels.withColumn("_d", contrast())
     top = d.groupBy(*keys).agg(F.max("_d").alias("_t"))
     d = d.join(top, keys).where(F.col("_d") >= F.col("_t") * 0.8)
-    m = d.groupBy(*keys).agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"), F.count("*").alias("n"), F.max("_t").alias("t"))
-    return m.select(*keys, F.when((F.col("t") >= 90) & (F.col("n") >= 2), hex_of(F.col("r"), F.col("g"), F.col("b"))).alias("colour"))
+    m = d.groupBy(*keys).agg(*[F.floor(F.avg(c) + 0.5).alias(c) for c in "rgb"], F.count("*").alias("n"), F.max("_t").alias("t"))
+    whole = [F.when(F.col(c) <= 10, 0).when(F.col(c) >= 245, 255).otherwise(F.col(c)) for c in "rgb"]
+    return m.select(*keys, F.when((F.col("t") >= 90) & (F.col("n") >= 2), hex_of(*whole)).alias("colour"))
+
+
+def contrast() -> Column:
+    """Of a pixel with text (r, g, b) and without (r0, g0, b0)."""
+    return F.abs(F.col("r") - F.col("r0")) + F.abs(F.col("g") - F.col("g0")) + F.abs(F.col("b") - F.col("b0"))

@@ -78,6 +78,22 @@ def column_letters(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda a, _: F.when(a.rest > 0, step(a)).otherwise(a)).text
 
 
+def cell_range(ref: Column) -> Column:
+    """Sheet, row_a, col_a, row_b, col_b (from 1, a before b) of a reference such as ``'My sheet'!$B$2:$B$9``.
+
+    A quote in a quoted name is written twice.  Null without a sheet, or where the rest isn't a cell or two corners."""
+    whole = F.trim(ref)
+    cut = F.length(whole) - F.instr(F.reverse(whole), "!")  # what stands before the last mark
+    name = F.left(whole, cut)
+    inner = F.substring(name, F.lit(2), F.length(name) - 2)
+    sheet = F.when(name.startswith("'") & name.endswith("'") & (F.length(name) > 2), F.replace(inner, F.lit("''"), F.lit("'"))).when(~name.contains("'") & (name != ""), name)
+    corners = F.split(F.replace(F.substring(whole, cut + 2, F.length(whole)), F.lit("$"), F.lit("")), ":")
+    fits = whole.contains("!") & sheet.isNotNull() & (F.size(corners) <= 2) & F.forall(corners, lambda c: c.rlike(r"\A[A-Za-z]{1,3}[0-9]{1,7}\z"))
+    cols = F.transform(corners, lambda c: column_number(F.regexp_extract(c, "[A-Za-z]+", 0)))
+    rows = F.transform(corners, lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long"))
+    return F.when(fits, F.struct(sheet.alias("sheet"), F.array_min(rows).alias("row_a"), F.array_min(cols).alias("col_a"), F.array_max(rows).alias("row_b"), F.array_max(cols).alias("col_b")))
+
+
 #: Types whose cells are numbers.
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 

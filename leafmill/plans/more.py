@@ -126,7 +126,7 @@ def file_names(spark, sf_dir):
 @query("text_colour", """
 WITH p AS (SELECT user_id % 50 AS k, (event_id * 13 % 256)::INT AS r, (event_id * 29 % 256)::INT AS g, (event_id * 53 % 256)::INT AS b FROM events),
 d AS (SELECT *, (255 - r) + (255 - g) + (255 - b) AS d FROM p), t AS (SELECT *, max(d) OVER (PARTITION BY k) AS t FROM d), m AS (SELECT k, avg(r) AS r, avg(g) AS g, avg(b) AS b, count(*) AS n, max(t) AS t FROM t WHERE d >= t * 0.8 GROUP BY 1)
-SELECT k, CASE WHEN t >= 90 AND n >= 2 THEN printf('%02X%02X%02X', floor(r + 0.5)::INT, floor(g + 0.5)::INT, floor(b + 0.5)::INT) END AS colour FROM m""")
+SELECT k, CASE WHEN t >= 90 AND n >= 2 THEN printf('%02X%02X%02X', CASE WHEN floor(r + 0.5) <= 10 THEN 0 WHEN floor(r + 0.5) >= 245 THEN 255 ELSE floor(r + 0.5) END::INT, CASE WHEN floor(g + 0.5) <= 10 THEN 0 WHEN floor(g + 0.5) >= 245 THEN 255 ELSE floor(g + 0.5) END::INT, CASE WHEN floor(b + 0.5) <= 10 THEN 0 WHEN floor(b + 0.5) >= 245 THEN 255 ELSE floor(b + 0.5) END::INT) END AS colour FROM m""")
 def text_colour(spark, sf_dir):
     """Pixels made from events, on white."""
     e = read(spark, sf_dir, "events")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import boxes, cells, outlines, runs, styles
+from leafmill.operators import boxes, cells, charts, outlines, pixels, runs, styles
 from leafmill.plans.common import read
 from leafmill.plans.series import query
 
@@ -131,3 +131,59 @@ def text_overflow(spark, sf_dir):
     columns = c.select("sheet").distinct().withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(16)))).withColumns({"col": F.col("col").cast("long"), "width": 20.0 + F.col("col") % 3 * 15})
     covered = c.where("merged").select("sheet", "row", (F.col("col") + 3).alias("col"))
     return cells.with_overflow(c, columns, covered, ["sheet"]).select("sheet", "row", "col", "span")
+
+
+_SHEETS = ["Data", "It's", "A b", "X!y"]
+_NAMES = ["Data", "'It''s'", "'A b'", "'X!y'"]
+
+
+@query("series_caches", f"""
+WITH c AS (SELECT l_orderkey AS book, ['Data', 'It''s', 'A b', 'X!y'][l_orderkey % 4 + 1] AS sheet, {_PLACE} AS "row", l_partkey % 3 + 1 AS col, CASE l_suppkey % 3 WHEN 0 THEN 'n' || l_suppkey ELSE l_partkey::VARCHAR END AS text FROM lineitem),
+o AS (SELECT o_orderkey AS book, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_totalprice) AS series, o_custkey % 2 = 0 AS num, CASE WHEN o_custkey % 4 = 0 THEN o_custkey % 5 END AS n, o_custkey % 3 + 1 AS a, o_custkey % 7 AS h, o_custkey % 9 = 5 AS lost FROM orders),
+f AS (SELECT book, series, num, unnest(range(n)) AS idx, true AS there FROM o WHERE n > 0),
+w AS (SELECT f.*, CASE WHEN idx % 2 = 0 THEN 'p' || idx END AS text FROM f UNION ALL
+  SELECT o.book, series, num, (r - 1) * a + k - 1, true, text FROM o, range(1, 9) r(r), range(1, 4) k(k) LEFT JOIN c ON c.book = o.book AND c."row" = r AND c.col = k WHERE n IS NULL AND NOT lost AND r <= h + 1 AND k <= a AND o.book IN (SELECT book FROM c) UNION ALL
+  SELECT book, series, num, NULL, false, NULL FROM o WHERE n IS NULL AND (lost OR book NOT IN (SELECT book FROM c)))
+SELECT book, series, idx, CASE WHEN NOT num AND there THEN coalesce(text, '') END AS text, CASE WHEN num THEN try_cast(text AS DOUBLE) END AS value FROM w""")
+def series_caches(spark, sf_dir):
+    """A chart series per order over the cells of its lines; a quarter has caches, some point to a sheet that isn't there."""
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    c = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("book"), pick(_SHEETS, F.col("l_orderkey") % 4).alias("sheet"), F.row_number().over(w).alias("row"), (F.col("l_partkey") % 3 + 1).alias("col"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("n"), "l_suppkey")).otherwise(F.col("l_partkey").cast("string")).alias("text"),
+    )
+    k, w = F.col("o_custkey"), Window.partitionBy("o_orderkey").orderBy("o_custkey", "o_totalprice")
+    last = F.concat(F.lit("$"), F.char(F.lit(65) + k % 3), F.lit("$"), k % 7 + 1)
+    name = F.when(k % 9 == 5, "Nowhere").otherwise(pick(_NAMES, F.col("o_orderkey") % 4))
+    cached = F.when(k % 4 == 0, k % 5)
+    points = F.when(cached > 0, F.transform(F.filter(F.sequence(F.lit(0).cast("long"), cached - 1), lambda i: i % 2 == 0), lambda i: F.struct(i.alias("idx"), F.concat(F.lit("p"), i).alias("text"))))
+    s = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("book"), F.row_number().over(w).cast("long").alias("series"), F.when(k % 2 == 0, "number").otherwise("text").alias("kind"),
+        F.when(k % 5 == 0, F.concat(name, F.lit("!"), last, F.lit(":A1"))).otherwise(F.concat(name, F.lit("!$A$1:"), last)).alias("formula"), cached.alias("n"), points.alias("points"),
+    )
+    return charts.filled(s, c, ["book"], ["series"])
+
+
+_RASTER = "SELECT l_suppkey % 20 AS page, l_partkey % 60 AS x, l_orderkey % 80 AS y, max((l_quantity * 5)::INT) AS r, max(l_linenumber % 7 * 36) AS g, max(l_suppkey * 7 % 256) AS b FROM lineitem WHERE {} GROUP BY ALL"
+
+
+@query("text_colours", f"""
+WITH a AS ({_RASTER.format("true")}), b AS ({_RASTER.format("l_linenumber <> 2")}),
+f AS (SELECT doc_id, doc_id % 20 AS page, doc_id * 7 % 110 - 4.0 AS x, doc_id * 11 % 170 - 5.0 AS y, length(text) % 40 + 5.0 AS width, 8.0 + doc_id % 9 AS size FROM documents),
+d AS (SELECT f.doc_id, a.*, abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) AS d FROM f JOIN a ON a.page = f.page JOIN b ON b.page = a.page AND b.x = a.x AND b.y = a.y
+  WHERE a.x >= greatest(0, floor(f.x * 0.5)) AND a.x < least(60, ceil((f.x + width) * 0.5)) AND a.y >= greatest(0, floor((160 - (f.y + size * 0.8)) * 0.5)) AND a.y < least(80, ceil((160 - (f.y - size * 0.25)) * 0.5))),
+t AS (SELECT *, max(d) OVER (PARTITION BY doc_id) AS t FROM d), m AS (SELECT doc_id, floor(avg(r) + 0.5)::INT AS r, floor(avg(g) + 0.5)::INT AS g, floor(avg(b) + 0.5)::INT AS b, count(*) AS n, max(t) AS t FROM t WHERE d >= t * 0.8 GROUP BY 1)
+SELECT doc_id, coalesce(CASE WHEN t >= 90 AND n >= 2 THEN printf('%02X%02X%02X', {", ".join(f"CASE WHEN {c} <= 10 THEN 0 WHEN {c} >= 245 THEN 255 ELSE {c} END" for c in "rgb")}) END, '000000') AS colour FROM f LEFT JOIN m USING (doc_id)""")
+def text_colours(spark, sf_dir):
+    """A fragment per document on twenty pages whose pixels are made of lines; without one kind of line they are bare."""
+    d = read(spark, sf_dir, "lineitem")
+
+    def raster(rows):
+        rows = rows.select((F.col("l_suppkey") % 20).alias("page"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 80).alias("y"), (F.col("l_quantity") * 5).cast("int").alias("r"), (F.col("l_linenumber") % 7 * 36).alias("g"), (F.col("l_suppkey") * 7 % 256).alias("b"))
+        return rows.groupBy("page", "x", "y").agg(*[F.max(c).alias(c) for c in "rgb"])
+
+    i = F.col("doc_id")
+    f = read(spark, sf_dir, "documents").select("doc_id", (i % 20).alias("page"), (i * 7 % 110 - 4.0).alias("x"), (i * 11 % 170 - 5.0).alias("y"), (F.length("text") % 40 + 5.0).alias("width"), (8.0 + i % 9).alias("size"))
+    pages = f.select("page").distinct().withColumns({"width": F.lit(120.0), "height": F.lit(160.0), "across": F.lit(60).cast("long"), "down": F.lit(80).cast("long")})
+    return pixels.coloured(f, pages, raster(d), raster(d.where("l_linenumber <> 2")), ["page"], ["doc_id"], tile=32).select("doc_id", "colour")

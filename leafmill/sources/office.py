@@ -162,6 +162,47 @@ def _styles(xml: bytes) -> Iterator[tuple[str, int, dict]]:
         yield "xf", i, ids | {"horizontal": at.get("horizontal"), "vertical": at.get("vertical"), "wrap": at.get("wrapText") in ("1", "true"), "indent": int(at.get("indent", 0))}
 
 
+#: Parts of a chart's series, and by what a part may give its points.
+SERIES_PARTS = {"tx": "name", "cat": "category", "xVal": "category", "val": "value", "yVal": "value", "bubbleSize": "size"}
+POINT_LISTS = {"numRef": "number", "numLit": "number", "strRef": "text", "strLit": "text", "multiLvlStrRef": "text"}
+
+
+def _series(xml: bytes) -> Iterator[tuple]:
+    first = lambda e, *tags: next((x for x in e if _local(x.tag) in tags), None)
+    number = 0
+    for area in (e for e in ElementTree.fromstring(xml).iter() if _local(e.tag) == "plotArea"):
+        for group in (e for e in area if _local(e.tag).endswith("Chart")):
+            for ser in (e for e in group if _local(e.tag) == "ser"):
+                for part in (e for e in ser if _local(e.tag) in SERIES_PARTS):
+                    given = first(part, *POINT_LISTS)
+                    if given is None:
+                        continue
+                    tag = _local(given.tag)
+                    held = given if tag.endswith("Lit") else first(given, "numCache", "strCache", "multiLvlStrCache")
+                    if held is not None and _local(held.tag) == "multiLvlStrCache":
+                        count, held = first(held, "ptCount"), first(held, "lvl")  # the innermost level
+                    else:
+                        count = None if held is None else first(held, "ptCount")
+                    points = [] if held is None else [(int(p.get("idx", 0)), (first(p, "v").text or "") if first(p, "v") is not None else "") for p in held if _local(p.tag) == "pt"]
+                    n = None if held is None else int(count.get("val", 0)) if count is not None else max((i for i, _ in points), default=-1) + 1
+                    f = first(given, "f")
+                    yield number, _local(group.tag)[:-5], SERIES_PARTS[_local(part.tag)], POINT_LISTS[tag], None if f is None else f.text, n, [{"idx": i, "text": t} for i, t in points]
+                number += 1
+
+
+def chart_series(spark: SparkSession, path: str) -> DataFrame:
+    """path, part, series, chart, role (name, category, value, size), kind (number or text), formula, n (points of its cache, null: no
+    cache) and points (idx, text) of the chart parts of workbooks, as ``charts.filled`` takes them."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(where, part, *s) for where, part, xml in zip(b["path"], b["part"], b["content"], strict=True) for s in _series(xml)]
+            yield pd.DataFrame(rows, columns=["path", "part", "series", "chart", "role", "kind", "formula", "n", "points"]).astype({"n": "Int64"})
+
+    schema = "path string, part string, series int, chart string, role string, kind string, formula string, n long, points array<struct<idx:long,text:string>>"
+    return parts(spark, path, r"xl/charts/chart[^/]*\.xml").mapInPandas(read, schema)
+
+
 def document_tokens(spark: SparkSession, path: str) -> DataFrame:
     """path, seq, par_no, kind, text of the body of word documents: text, tab, break, code (of a field), begin, separate,
     end, note (text is its id).  Hidden and deleted runs give none, but the marks of fields in them."""

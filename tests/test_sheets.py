@@ -1,13 +1,14 @@
 """Shared formulas, cell styles and fields, from packages and from small tables."""
 
+import math
 import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions import formula, numfmt
-from leafmill.operators import cells, runs
+from leafmill.functions import formula, numfmt, sheet
+from leafmill.operators import cells, charts, pixels, runs
 from leafmill.sources import office
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -117,3 +118,62 @@ def test_overflow(spark):
     got = {(r.row, r.col): r.span for r in cells.with_overflow(d, columns, covered, ["sheet"]).collect()}
     # 20 characters need 204.4 pixels, five columns; a filled cell, a covered one and the last column stop them
     assert got == {(1, 1): 1, (2, 1): 5, (3, 1): 2, (3, 3): 1 + (5 * 12 * 0.62 * 96 / 72 + 6 > 50), (4, 1): 5, (4, 4): 1, (5, 1): 1, (6, 1): 1, (7, 1): 1, (8, 1): 1, (9, 1): 1, (10, 4): 2, (11, 1): 1, (12, 9): 1}
+
+
+def test_cell_ranges(spark):
+    cases = {
+        "Data!$B$2:$B$4": ("Data", 2, 2, 4, 2), "'It''s'!A1": ("It's", 1, 1, 1, 1), "'a!b'!C9:aa3": ("a!b", 3, 3, 9, 27), " S1!A1 ": ("S1", 1, 1, 1, 1),
+        "A1:B2": None, "!A1": None, "S!A": None, "S!A1:B2:C3": None, "S!1:2": None, "''!A1": None, "": None, None: None, "S!ABCD1": None,
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "ref string").select("ref", sheet.cell_range(F.col("ref")).alias("r"))
+    assert {x.ref: None if x.r is None else tuple(x.r) for x in d.collect()} == cases
+
+
+def test_series_of_a_workbook(spark, tmp_path):
+    rows = "".join(f'<row r="{i}"><c r="A{i}" t="str"><v>k{i}</v></c>' + (f'<c r="B{i}"><v>{i * 1.5}</v></c>' if i != 2 else "") + f'<c r="C{i}" t="str"><v>x</v></c></row>' for i in (1, 2, 3))
+    book(tmp_path / "b.xlsx", rows)
+    ref = lambda part, tag, f, held="": f"<c:{part}><c:{tag}><c:f>{f}</c:f>{held}</c:{tag}></c:{part}>"
+    points = lambda n, **at: f'<c:ptCount val="{n}"/>' + "".join(f'<c:pt idx="{k[1:]}"><c:v>{v}</c:v></c:pt>' for k, v in at.items())
+    chart = (
+        "<c:barChart><c:ser>" + ref("tx", "strRef", "One!$A$1") + ref("cat", "strRef", "One!$A$1:$A$4") + ref("val", "numRef", "One!$C$3:$B$1") + "</c:ser>"
+        "<c:ser>" + ref("cat", "multiLvlStrRef", "f", f"<c:multiLvlStrCache><c:ptCount val='3'/><c:lvl>{points(3, i0='in', i2='er').partition('/>')[2]}</c:lvl><c:lvl/></c:multiLvlStrCache>") + ref("val", "numRef", "One!B1:B3", f"<c:numCache>{points(4, i1='7', i3='no')}</c:numCache>") + "</c:ser></c:barChart>"
+        "<c:scatterChart><c:ser>" + ref("xVal", "numRef", "Gone!A1") + "<c:yVal><c:numLit><c:pt idx='1'><c:v>2e1</c:v></c:pt></c:numLit></c:yVal>" + ref("bubbleSize", "numRef", "broken") + "</c:ser></c:scatterChart>"
+    )
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "a") as z:
+        z.writestr("xl/charts/chart1.xml", f'<c:chartSpace xmlns:c="c"><c:chart><c:plotArea>{chart}</c:plotArea></c:chart></c:chartSpace>')
+    c = office.workbook_cells(spark, str(tmp_path)).withColumn("text", F.coalesce("s", F.col("n").cast("string")))
+    got = {}
+    for r in charts.filled(office.chart_series(spark, str(tmp_path)), c, ["path"], ["part", "series", "chart", "role"]).orderBy("series", "role", "idx").collect():
+        got.setdefault((r.series, r.chart, r.role), []).append(r.text if r.text is not None else r.value)
+    assert got == {
+        (0, "bar", "name"): ["k1"], (0, "bar", "category"): ["k1", "k2", "k3", ""], (0, "bar", "value"): [1.5, None, None, None, 4.5, None],
+        (1, "bar", "category"): ["in", "", "er"], (1, "bar", "value"): [None, 7.0, None, None],
+        (2, "scatter", "category"): [None], (2, "scatter", "value"): [None, 20.0], (2, "scatter", "size"): [None],
+    }
+
+
+def test_colours_by_place(spark):
+    rng = random.Random(3)
+    raster = {(p, x, y): tuple(rng.choice((0, 4, 60, 250)) for _ in range(3)) for p in (0, 1) for x in range(30) for y in range(40)}
+    bare = {k: (255, 255, 255) if rng.random() < 0.5 else v for k, v in raster.items()}
+    boxes = [(rng.choice((0, 1, 9)), i, rng.uniform(-20, 80), rng.uniform(-20, 90), rng.uniform(0, 30), rng.uniform(1, 14)) for i in range(120)] + [(0, 500, None, 1.0, 1.0, 1.0)]
+
+    def walked(p, x, y, w, s):
+        if x is None or p == 9:
+            return "000000"
+        own = [k for k in raster if k[0] == p and max(0, math.floor(x / 2)) <= k[1] < math.ceil((x + w) / 2) and max(0, math.floor((80 - (y + s * 0.8)) / 2)) <= k[2] < math.ceil((80 - (y - s * 0.25)) / 2)]
+        diff = {k: sum(abs(a - b) for a, b in zip(raster[k], bare[k], strict=True)) for k in own}
+        best = [raster[k] for k in own if diff[k] >= max(diff.values()) * 0.8]
+        if not own or max(diff.values()) < 90 or len(best) < 2:
+            return "000000"
+        means = [math.floor(sum(c) / len(best) + 0.5) for c in zip(*best, strict=True)]
+        return "".join(f"{0 if m <= 10 else 255 if m >= 245 else m:02X}" for m in means)
+
+    pix = lambda d: spark.createDataFrame([(*k, *v) for k, v in d.items()], "page int, x int, y int, r int, g int, b int")
+    f = spark.createDataFrame(boxes, "page int, id int, x double, y double, width double, size double")
+    pages = spark.createDataFrame([(p, 60.0, 80.0, 30, 40) for p in (0, 1)], "page int, width double, height double, across long, down long")
+    for tile in (7, 64):
+        got = {r.id: r.colour for r in pixels.coloured(f, pages, pix(raster), pix(bare), ["page"], ["id"], tile).collect()}
+        assert got == {b[1]: walked(b[0], *b[2:]) for b in boxes}
+    assert len(set(got.values())) > 5
+    assert pixels.coloured(f.limit(0), pages, pix(raster), pix(bare), ["page"], ["id"]).count() == 0
