@@ -74,8 +74,8 @@ def quantised(df: DataFrame, dims: list[str], bits: int, accuracy: int = 1000) -
     return df.withColumn("_cell", F.array(*cell))
 
 
-def with_rank(df: DataFrame, major: str, minor: str, rows_per_bin: int = 200_000, n_rows: int | None = None) -> DataFrame:
-    """Adds ``_rank``, the place (from 0) in the order of ``major``, a seeded hash of ``minor``, ``minor``.
+def with_rank(df: DataFrame, major: str, minor: str, rows_per_bin: int = 200_000, n_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``_rank``, the place (from 0) in the order of ``major``, a seeded hash of ``minor``, ``minor``, ``ties``.
 
     No window holds all rows: rows fall into bins (major, part of the hash), counts per bin are summed up
     along the few values of ``major`` and then inside each, and rows are numbered inside their bin.  A value
@@ -90,22 +90,22 @@ def with_rank(df: DataFrame, major: str, minor: str, rows_per_bin: int = 200_000
     before = majors.select(major, (F.sum("_m").over(Window.orderBy(major)) - F.col("_m")).alias("_before"))
     inside = bins.select(major, "_bin", (F.sum("_n").over(Window.partitionBy(major).orderBy("_bin")) - F.col("_n")).alias("_inside"))
     starts = inside.join(before, major).select(major, "_bin", (F.col("_before") + F.col("_inside")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy(major, "_bin").orderBy("_h", F.col(minor).asc_nulls_first()))
+    own = F.row_number().over(Window.partitionBy(major, "_bin").orderBy("_h", *[F.col(c).asc_nulls_first() for c in (minor, *ties)]))
     ranked = df.withColumn("_own", own)
     return ranked.join(starts, [major, "_bin"]).withColumn("_rank", (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_hash", "_h", "_bin", "_own", "_start")
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], key: str, n_shards: int, bits: int = 4) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[str], key: str, n_shards: int, bits: int = 4, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in the shard): runs of the
     Hilbert order whose counts are at most one apart.
 
     ``df`` should be narrow (no texts): join the shards back by key to write files.  Nulls in a dimension
-    sort first, ties on the curve go by a hash of ``key``, then by ``key``; rows with equal keys are told
-    apart by any order, which changes nothing but which of them comes first.  Empty in, empty out."""
+    sort first, ties on the curve go by a hash of ``key``, then by ``key``, then by ``ties``; rows that are
+    equal in all of these are told apart by any order.  Empty in, empty out."""
     curve = F.pandas_udf(lambda cells: pd.Series(hilbert_index(np.stack(cells.to_numpy()), bits) if len(cells) else [], dtype="int64"), "long")
     n = df.count()
     placed = quantised(df, dims, bits).withColumn("_curve", curve("_cell"))
-    ranked = with_rank(placed, "_curve", key, n_rows=n)
+    ranked = with_rank(placed, "_curve", key, n_rows=n, ties=ties)
     whole, more = divmod(n, n_shards)  # the first `more` shards hold one row more
     rank = F.col("_rank")
     edge = more * (whole + 1)
@@ -123,5 +123,5 @@ def op9_sharding(spark, sf_dir):
         (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    out = hilbert_shards(stage(slim, "slim"), ["source", "lang", "size"], "doc_id", 16)
+    out = hilbert_shards(stage(slim, "slim"), ["source", "lang", "size"], "doc_id", 16, ties=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
