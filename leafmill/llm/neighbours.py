@@ -8,8 +8,8 @@ kd-tree of its own.
 
 A query first searches its own cell, which bounds the distance of its k-th neighbour, and then every other
 block that the test doesn't rule out.  Inside a block leaves come nearest first by projected distance, and
-their points are verified on the original vectors until the test holds: the next projected distance is so long
-that a true neighbour at the k-th distance would project there with a probability of at most ``1 - p``.
+their points are verified on the original vectors unless the test holds for their leaf or for the point itself: its projected
+distance is so long that a true neighbour at the k-th distance would project there with a probability of at most ``1 - p``.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import columns_of, stage, table
 
-#: Rows in a block, points in a leaf, rows the top tree is fitted on, queries in a packed row.
-BLOCK, LEAF, SAMPLE, PACK = 8192, 128, 20_000, 1024
+#: Rows in a block, points in a leaf, rows the top tree is fitted on, queries in a packed row, queries that meet a leaf at a time.
+BLOCK, LEAF, SAMPLE, PACK, SLICE = 8192, 128, 20_000, 1024, 256
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -127,20 +127,21 @@ def unpack(b: bytes, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b, kind).reshape(-1, width)
 
 
-def search(ids: np.ndarray, x: np.ndarray, index: Index, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k of one block for each query that may have any: places of queries, ids, inner products.
+def search(ids: np.ndarray, own: np.ndarray, x: np.ndarray, index: Index, skip: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The best k of one block for each query that may have any: places of queries, ids, inner products; and how many
+    pairs were verified on the original vectors.
 
-    ``bound``: inner product of the k-th neighbour known so far (-inf: none)."""
+    ``bound``: inner product of the k-th neighbour known so far (-inf: none); a row whose ``own`` is a query's ``skip`` is left out."""
     points, at = index.project(x, True), index.project(q, False)
     order, ranges, low, high = kd_cells(points, LEAF)
-    x, ids = x[order], ids[order]
+    x, ids, own, points = x[order], ids[order], own[order], points[order]
     away = box_distance(at, low, high)
     norm2 = (q * q).sum(1)
     reach = lambda rows, s: limit * np.maximum(index.norm2 + norm2[rows] - 2 * s, 0)  # noqa: E731  squared projected distance at which the test holds
     visits = np.argsort(away, axis=1, kind="stable")
     best = np.full((len(q), k), -np.inf)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-    live = np.arange(len(q))
+    live, verified = np.arange(len(q)), 0
     for step in range(len(ranges)):
         leaf = visits[live, step]
         kth = np.maximum(best[live, k - 1], bound[live])
@@ -150,11 +151,17 @@ def search(ids: np.ndarray, x: np.ndarray, index: Index, qid: np.ndarray, q: np.
             break
         by = np.argsort(leaf, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(leaf[by]) > 0])
-        for s, e in zip(starts, np.r_[starts[1:], len(by)], strict=True):
+        ends = np.r_[starts[1:], len(by)]
+        for s, e in ((i, min(i + SLICE, e)) for s, e in zip(starts, ends, strict=True) for i in range(s, e, SLICE)):
             rows = live[by[s:e]]
             a, b = ranges[leaf[by[s]]]
-            score = np.einsum("qd,nd->qn", q[rows], x[a:b])
-            score = np.where(ids[None, a:b] == qid[rows, None], -np.inf, score)
+            kth = np.maximum(best[rows, k - 1], bound[rows])
+            near = box_distance(at[rows], points[a:b], points[a:b])
+            open_ = (np.isneginf(kth)[:, None] | (near <= reach(rows, kth)[:, None])) & (own[None, a:b] != skip[rows, None])
+            i, j = np.nonzero(open_)
+            verified += len(i)
+            score = np.full(open_.shape, -np.inf)
+            score[i, j] = np.einsum("nd,nd->n", q[rows[i]], x[a + j])
             better = score.max(1) >= best[rows, k - 1]
             rows, score = rows[better], score[better]
             if not len(rows):
@@ -164,16 +171,19 @@ def search(ids: np.ndarray, x: np.ndarray, index: Index, qid: np.ndarray, q: np.
             top = np.lexsort((names, -merged), axis=1)[:, :k]
             best[rows], best_id[rows] = np.take_along_axis(merged, top, 1), np.take_along_axis(names, top, 1)
     who, col = np.nonzero(~np.isneginf(best) & (best >= bound[:, None]))  # what is below the known k-th can't be among them
-    return who, best_id[who, col], best[who, col]
+    return who, best_id[who, col], best[who, col], verified
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int | None = None, to: int = 8, p: float = 0.95, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | Column, k: int = 20, dims: int | None = None, to: int = 16, p: float = 0.95, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query among ``vectors`` (both:
     vec_id, embedding), itself left out.
 
+    ``queries`` as a condition on ``vec_id``: those rows of ``vectors``, each against every row but itself.  As a table: rows of their
+    own, against every row of another id.  Results are by row, so repeated ids give a list each.
+
     Vectors that are null, zero, of another length than ``dims`` (left out: the most frequent one, of equals the
-    smallest) or hold null or non-finite components take no part, as rows or as queries.  Equal scores go by smaller vec_id; repeated ids are rows of their own, but a
-    query meets none with its own id.  Fewer candidates than k: all of them.  No rows: no result."""
+    smallest) or hold null or non-finite components take no part, as rows or as queries.  Equal scores go by smaller vec_id.
+    Fewer candidates than k: all of them.  No rows: no result."""
     spark = vectors.sparkSession
     if dims is None:
         lengths = columns_of(vectors, embedding="embedding").where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count()
@@ -197,17 +207,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int | Non
             v = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims))
             yield pd.DataFrame({"vec_id": b["vec_id"], "cell": i.cell(i.project(v, True)), "vector": [r.tobytes() for r in v.astype("<f8")]})
 
-    rows = stage(x.mapInPandas(placed, "vec_id long, cell long, vector binary"), "placed")
+    # written with a number a row, which stays the same from here on
+    rows = stage(x.mapInPandas(placed, "vec_id long, cell long, vector binary").withColumn("key", F.monotonically_increasing_id()), "placed")
+    by_row = not isinstance(queries, DataFrame)
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # a row per cell of the top tree
-    dealt = rows.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.col("parts")).cast("int"))
+    dealt = rows.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.col("parts")).cast("int"))
 
     def packed(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("vec_id", kind="stable")
+        b = b.sort_values(["vec_id", "key"], kind="stable")
         i = index.value
         points = i.project(unpack(b"".join(b["vector"]), dims, "<f8"), True)
-        return pd.DataFrame([{"cell": b["cell"].iloc[0], "part": b["part"].iloc[0], "ids": b["vec_id"].to_numpy("<i8").tobytes(), "matrix": b"".join(b["vector"]), "low": points.min(0).tobytes(), "high": points.max(0).tobytes()}])
+        return pd.DataFrame([{"cell": b["cell"].iloc[0], "part": b["part"].iloc[0], "ids": b["vec_id"].to_numpy("<i8").tobytes(), "keys": b["key"].to_numpy("<i8").tobytes(), "matrix": b"".join(b["vector"]), "low": points.min(0).tobytes(), "high": points.max(0).tobytes()}])
 
-    blocks = stage(dealt.groupBy("cell", "part").applyInPandas(packed, "cell long, part int, ids binary, matrix binary, low binary, high binary"), "blocks")
+    blocks = stage(dealt.groupBy("cell", "part").applyInPandas(packed, "cell long, part int, ids binary, keys binary, matrix binary, low binary, high binary"), "blocks")
     # cells are at most as many as sampled rows, so the table of their boxes has a bound
     boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in cell_boxes(blocks, to):
@@ -231,34 +243,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int | Non
                 reach = np.where(np.isnan(bound), np.inf, limit * np.maximum(i.norm2 + (q * q).sum(1) - 2 * bound, 0))
                 near = (box_distance(i.project(q, False), low, high) <= reach[:, None]) & (cells[None, :] != b["cell"].to_numpy()[:, None])
                 who, which = np.nonzero(near)
-                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[who], "cell": cells[which], "query": b["query"].to_numpy()[who], "bound": bound[who]})
+                same = {c: b[c].to_numpy()[who] for c in ("key", "query_id", "skip")}
+                yield pd.DataFrame(same | {"cell": cells[which], "query": b["query"].to_numpy()[who], "bound": bound[who]})
 
     def run(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        qid, bound = qs["query_id"].to_numpy(np.int64), qs["bound"].to_numpy(float)
-        ids, x = unpack(block["ids"].iloc[0], 1, "<i8")[:, 0], unpack(block["matrix"].iloc[0], dims, "<f8")
-        who, got, score = search(ids, x, index.value, qid, unpack(b"".join(qs["query"]), dims, "<f8"), np.where(np.isnan(bound), -np.inf, bound), k, limit)
-        return pd.DataFrame({"query_id": qid[who], "vec_id": got, "score": score})
+            return pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []}).astype(dict.fromkeys(("key", "query_id", "vec_id"), "int64"))
+        key, qid, skip, bound = *(qs[c].to_numpy(np.int64) for c in ("key", "query_id", "skip")), qs["bound"].to_numpy(float)
+        ids, keys = (unpack(block[c].iloc[0], 1, "<i8")[:, 0] for c in ("ids", "keys"))
+        x = unpack(block["matrix"].iloc[0], dims, "<f8")
+        who, got, score, _ = search(ids, keys if by_row else ids, x, index.value, skip, unpack(b"".join(qs["query"]), dims, "<f8"), np.where(np.isnan(bound), -np.inf, bound), k, limit)
+        return pd.DataFrame({"key": key[who], "query_id": qid[who], "vec_id": got, "score": score})
 
     def found(visits: DataFrame) -> DataFrame:
         """Searches (cell, query) visits; at most PACK queries, about, meet one block at a time."""
         packs = visits.groupBy("cell").agg(F.ceil(F.count("*") / PACK).cast("int").alias("packs"))
-        q = visits.join(packs, "cell").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("packs")).cast("int"))
+        q = visits.join(packs, "cell").withColumn("pack", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
         q = q.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        b = blocks.select("cell", "part", "ids", "matrix").join(packs, "cell").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-        keys = ["cell", "part", "pack"]
-        return q.select(*keys, "query_id", "query", "bound").groupBy(*keys).cogroup(b.select(*keys, "ids", "matrix").groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+        b = blocks.select("cell", "part", "ids", "keys", "matrix").join(packs, "cell").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+        by = ["cell", "part", "pack"]
+        return q.select(*by, "key", "query_id", "skip", "query", "bound").groupBy(*by).cogroup(b.select(*by, "ids", "keys", "matrix").groupBy(*by)).applyInPandas(run, "key long, query_id long, vec_id long, score double")
 
     def best(of: DataFrame) -> DataFrame:
         ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id")))
-        return of.groupBy("query_id").agg(F.slice(ordered, 1, k).alias("best"))
-
-    visit = "query_id long, cell long, query binary, bound double"
-    asked = usable(queries, dims).mapInPandas(homes, visit)
+        return of.groupBy("key", "query_id").agg(F.slice(ordered, 1, k).alias("best"))
+
+    visit = "key long, query_id long, skip long, cell long, query binary, bound double"
+    if by_row:
+        asked = rows.where(queries).select("key", F.col("vec_id").alias("query_id"), F.col("key").alias("skip"), "cell", F.col("vector").alias("query"), F.lit(float("nan")).alias("bound"))
+    else:
+        asked = usable(queries, dims).mapInPandas(homes, "query_id long, cell long, query binary, bound double")
+        asked = stage(asked.select(F.monotonically_increasing_id().alias("key"), "query_id", F.col("query_id").alias("skip"), "cell", "query", "bound"), "asked")
     first = stage(found(asked), "home")  # the k best of each query's own cell, a row each
-    bound = best(first).select("query_id", F.when(F.size("best") == k, -F.get("best", F.lit(k - 1))["less"]).alias("bound"))
-    onward = asked.drop("bound").join(bound, "query_id", "left").select("query_id", "cell", "query", "bound").mapInPandas(routes, visit)
+    bound = best(first).select("key", F.when(F.size("best") == k, -F.get("best", F.lit(k - 1))["less"]).alias("bound"))
+    onward = asked.drop("bound").join(bound, "key", "left").select("key", "query_id", "skip", "cell", "query", "bound").mapInPandas(routes, visit)
     out = best(first.unionByName(found(onward))).select("query_id", F.posexplode("best").alias("rank", "b"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
 
@@ -281,4 +299,4 @@ def usable(df: DataFrame, dims: int) -> DataFrame:
 
 def op4_nearest_neighbours(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings")
-    return nearest(x, x.where(F.col("vec_id") % 20 == 0))
+    return nearest(x, F.col("vec_id") % 20 == 0)

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,31 @@ def test_neighbours(spark):
     assert few.count() == 3 and neighbours.nearest(d.limit(0), asks, dims=16).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """A list per row: a row meets others of its id and of its vector, but not itself."""
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [2.0, 0.5])]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") == 0, k=3).collect()
+    assert len(got) == 9 and {r.query_id for r in got} == {0}
+    top = sorted((r["rank"], r.vec_id, r.score) for r in got)
+    assert top == [(1, 1, 2.0), (1, 1, 3.0), (1, 1, 3.0), (2, 0, 1.0), (2, 0, 1.0), (2, 2, 2.0), (3, 0, 0.0), (3, 2, 0.5), (3, 2, 0.5)]
+    table_ = neighbours.nearest(d, d.where("vec_id = 0"), k=3).collect()
+    assert {r.vec_id for r in table_} == {1, 2} and len(table_) == 6
+
+
+def test_neighbours_stop_early():
+    """The test leaves out points of the given vectors, and nine tenths of the neighbours are found."""
+    d = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet").dropna(subset=["embedding"])
+    x, ids = np.stack(d["embedding"].to_numpy()).astype(float), d["vec_id"].to_numpy(np.int64)
+    asks = np.flatnonzero(ids % 20 == 0)
+    index = neighbours.Index(x.shape[1], 16, 5, float((x * x).sum(1).max()) * (1 + 1e-12), x, 1)
+    who, got, _, verified = neighbours.search(ids, ids, x, index, ids[asks], x[asks], np.full(len(asks), -np.inf), 20, neighbours.chi_square_quantile(0.95, 16))
+    s = x[asks] @ x.T
+    s[np.arange(len(asks)), asks] = -np.inf
+    want = {(q, ids[i]) for q, row in enumerate(s) for i in np.lexsort((ids, -row))[:20]}
+    assert len(want & set(zip(who, got))) >= 0.9 * len(want) and verified < 0.95 * s.size
+
+
 def family(rnd, base, n, edits):
     return [" ".join(rnd.choice(["zu", "ka", "mo"]) + str(rnd.randrange(999)) if rnd.random() < edits else w for w in base) for _ in range(n)]
 
