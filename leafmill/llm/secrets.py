@@ -34,7 +34,9 @@ KINDS = (
     Kind("private_key", r"(-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*+)*+(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++\z))*+))", True),
     Kind("access_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])", True),
     # up to the closing quote, or else up to a space or delimiter, without the stop of a sentence
-    Kind("assigned", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?((?<=\")(?:[^\"\\\r\n]|\\.){8,}+(?=\")|(?<=')(?:[^'\\\r\n]|\\.){8,}+(?=')|[\x21-\x7E&&[^\"'`<>,;(){}\[\]|&\\]]{8,}(?<![.:?]))", True),
+    # the password of an address: up to the last @ of its host part
+    Kind("url", r"(?<=://)[^\s:/@\"'<>]{0,64}:([^\s/\"'<>]{3,})(?=@[A-Za-z0-9\[])", True),
+    Kind("assigned", r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|credentials?)[\"']?\s{0,3}[=:]\s{0,3}[\"']?((?<=\")(?:[^\"\\\r\n]|\\.){8,}+(?=\")|(?<=')(?:[^'\\\r\n]|\\.){8,}+(?=')|[\x21-\x7E&&[^\"'`<>,;(){}\[\]|&\\]]{8,}(?<![.:?]))", True),
     Kind("prefixed", r"(?<![A-Za-z0-9])((?:ghp_|gho_|xoxb-|xoxp-|sk-|AIza|glpat-)[A-Za-z0-9_\-]{16,}+)", True),
     Kind("opaque", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+)", False),
 )
@@ -53,7 +55,7 @@ def _span(k: int, kind: Kind) -> Column:
 
     def place(g: Column, i: Column) -> Column:
         inside = F.instr(F.get(whole, i), g) - 1
-        inside = F.length(F.get(whole, i)) - F.length(g) if kind.name == "assigned" else inside
+        inside = F.length(F.get(whole, i)) - F.length(g) if kind.name in ("assigned", "url") else inside
         return F.struct(
             (total(between, i + 1) + total(whole, i) + inside).alias("start"),
             F.lit(k).alias("rank"),
@@ -151,10 +153,11 @@ def planted(docs: DataFrame, rows: int = PLANT_DOCS, seed: int = 11) -> DataFram
     """Labelled findings: known secrets (1) and known harmless strings (0), planted among the words of ``rows``
     documents, those with the smallest hashes.
 
-    Random strings are digests of seed and document, so reruns agree.  Harmless ones are card numbers, digests that a
+    Random strings are digests of seed and document, so reruns agree; the words are those of 120 code points at a hashed place of
+    the whole text.  Harmless ones are card numbers, digests that a
     word names, paths, names with numbers, times, placeholders.  Documents without text plant nothing."""
     d = columns_of(docs, doc_id="doc_id", text="text", source="source").where("text is not null")
-    d = d.select("source", F.substring("text", 1, 400).alias("text"), F.sha2(F.concat_ws(" ", F.lit(seed), F.col("doc_id"), F.substring("text", 1, 400)), 256).alias("hex"))
+    d = d.select("source", "text", F.sha2(F.concat_ws(" ", F.lit(seed), F.col("doc_id"), "text"), 256).alias("hex")).select("source", "hex", F.substring("text", F.pmod(F.xxhash64("hex"), F.greatest(F.length("text") - 119, F.lit(1))).cast("int") + 1, F.lit(120)).alias("text"))
     d = d.orderBy("hex", "source").limit(rows)
     word = lambda i: F.coalesce(F.get(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2), F.lit(i)), F.lit("name"))
     d = d.select("source", "text", "hex", F.translate(F.base64(F.unhex("hex")), "+/=", "qZ7").alias("mixed"), word(0).alias("u"), word(1).alias("v"), word(2).alias("w"))
@@ -162,11 +165,12 @@ def planted(docs: DataFrame, rows: int = PLANT_DOCS, seed: int = 11) -> DataFram
     true = (
         "'token = \"' || left(hex, 40) || '\"'", "'TOKEN = \"' || upper(left(hex, 40)) || '\"'", "'api_key=' || left(mixed, 32)", "'password: ' || left(mixed, 12)", "'AKIA' || upper(left(mixed, 16))", "'ghp_' || left(mixed, 36)",
         "'client_secret: ' || mixed", "left(mixed, 40)", "'Bearer ' || mixed || reverse(mixed)", "'\"password\": \"' || left(mixed, 9) || '.' || u || '!\"'", f"'-----BEGIN RSA PRIVATE KEY-----\\n' || {lines} || '\\n-----END RSA PRIVATE KEY-----'",
-        f"'token=' || repeat(mixed, 12)", "'ghp_' || repeat(mixed, 12)",
+        "'token=' || repeat(mixed, 12)", "'ghp_' || repeat(mixed, 12)", "'pwd=' || u || left(translate(hex, 'abcdef', '012345'), 1) || v || left(translate(hex, 'abcdef', '678901'), 2)",
+        "'passphrase: ' || u || '-' || v || '-' || left(translate(hex, 'abcdef', '123456'), 1) || '-' || w", "'postgres://' || u || ':' || left(mixed, 12) || '@' || v || '.internal:5432/' || w", "'https://' || u || ':' || v || left(translate(hex, 'abcdef', '012345'), 3) || '@' || w || '.org/'",
     )
     false = (
         "left(translate(hex, 'abcdef', '012345'), 16)", "left(translate(hex, 'abcdef', '678901'), 19)", "'commit ' || left(hex, 40)", "'sha256 ' || hex", "'docs/' || u || '/' || v || '/part-12/' || w", "u || '_' || v || '_' || w || '_2024'",
-        "'password = example_' || u || '1'", "'token: your_' || v || '_token_here1'", "'secret=' || u || '-' || v || '-' || w", "u || '-' || v || '-release-2024-11-05'", "'2024110510' || left(translate(hex, 'abcdef', '012345'), 11)", "'api_key=' || u || v || w",
+        "'password = example_' || u || '1'", "'token: your_' || v || '_token_here1'", "'secret=' || u || '-' || v || '-' || w", "u || '-' || v || '-release-2024-11-05'", "'2024110510' || left(translate(hex, 'abcdef', '012345'), 11)", "'api_key=' || u || v || w", "'ftp://' || u || ':password@' || v || '.org/'", "'https://' || u || ':your_' || v || '@' || w || '.org/'",
     )
     forms = F.array(*[F.struct(F.expr(f).alias("plant"), F.lit(label).alias("label")) for kind, label in ((true, 1), (false, 0)) for f in kind])
     d = d.select("source", "text", F.explode(forms).alias("f")).select("source", "f.*", F.concat_ws(" ", F.left("text", F.lit(60)), "f.plant", F.substring("text", 61, 60)).alias("text"))

@@ -560,3 +560,36 @@ def test_flows_are_the_cheapest_largest():
         got = mixture.routed(p, q)
         lv = [sum(f.values()) for f in got]
         assert all(sum(f.get(s, 0) for f in got) <= q[s] for s in "ab") and (-sum(lv), price(lv, p)) == want
+
+
+def test_secrets_of_addresses_and_further_keys(spark):
+    probes = {
+        "db postgres://admin:S3cr3tPassw0rd9@db.example:5432/x end": "db postgres://admin:[url]@db.example:5432/x end",
+        "amqp://guest:guest1x7@h and http://host:8080/a@b": "amqp://guest:[url]@h and http://host:8080/a@b",
+        "mysql://u:p@ss9w0rd77@db/": "mysql://u:[url]@db/", "redis://:Zk39vQp1LmT4@cache:6379": "redis://:[url]@cache:6379",
+        "set pwd=hunter2hunter2 now": "set pwd=[assigned] now", "passphrase: correct-horse-9-battery": "passphrase: [assigned]",
+        "see https://example.org/a:b@c and mail me@host.org": "see https://example.org/a:b@c and mail me@host.org",
+    }
+    d = spark.createDataFrame([(i, t, None) for i, t in enumerate(probes)], "doc_id long, text string, source string")
+    labels = secrets.planted(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    got = [r.clean for r in secrets.scan(d, labelled=labels).withColumn("clean", secrets.redacted(F.col("text"), F.col("found"))).orderBy("doc_id").collect()]
+    assert got == list(probes.values())
+
+
+def test_candidates_equal_brute_force(spark):
+    """Places and candidates of all texts, with planted ones, found again by another engine of patterns, one kind after the other."""
+    import regex
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("text is not null").limit(400)
+    plants = ["pwd=hunter2hunter2", "x://a:bcd1@e", 'token="a b c d e f"', "AKIA" + "Q7" * 8, "ghp_" + "aB3" * 9, "deadbeef12345678 and abc/def/0123456789", "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----", "api-key: 'qwertyuiop'"]
+    texts = {r.doc_id: f"{r.text[: r.doc_id % 50]} {plants[r.doc_id % len(plants)]} {r.text}" for r in docs.collect()}
+    kinds = [regex.compile(k.pattern.replace(r"\z", r"\Z"), regex.V1) for k in secrets.KINDS]
+    want = set()
+    for i, t in texts.items():
+        end = 0
+        for start, k, g in sorted((m.start(1), k, m[1]) for k, p in enumerate(kinds) for m in p.finditer(t)):
+            if start >= end:
+                want.add((i, start, secrets.KINDS[k].name, g))
+                end = start + len(g)
+    d = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.start, r.kind, r.candidate) for r in secrets.findings(d).collect()} == want and {w[2] for w in want} == {k.name for k in secrets.KINDS}
