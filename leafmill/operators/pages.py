@@ -48,11 +48,18 @@ def islands(df: DataFrame, keys: list[str], n: str, stretch: int = 4096) -> Data
 
 
 def range_text(df: DataFrame, keys: list[str], n: str, stretch: int = 10_000) -> DataFrame:
-    """The pages of each key as text: ``1-3, 5``; a row for each ``stretch`` of numbers in which runs begin, so texts stay short."""
-    runs = islands(df, keys, n).withColumn("stretch", F.floor(F.col("first") / stretch))
+    """The pages of each key as one text: ``1-3, 5``; null for a key without numbers.
+
+    Runs are written and sorted by key and ``stretch`` of numbers in which they begin; only these texts meet by key, in order."""
+    runs = islands(df, keys, n).withColumn("_s", F.floor(F.col("first") / stretch))
     one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
-    xs = F.array_sort(F.collect_list(F.struct("first", one.alias("t"))))
-    return runs.groupBy(*keys, "stretch").agg(F.array_join(F.transform(xs, lambda x: x.t), ", ").alias("ranges"))
+
+    def joined(order: str, text: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x.t), ", ")
+
+    texts = runs.groupBy(*keys, "_s").agg(joined("first", one).alias("_t"))
+    bare = df.where(F.col(n).isNull()).select(*keys).distinct().select(*keys, F.lit(None).cast("long").alias("_s"), F.lit(None).cast("string").alias("_t"))
+    return texts.unionByName(bare).groupBy(*keys).agg(F.when(F.count("_t") > 0, joined("_s", F.col("_t"))).alias("ranges"))
 
 
 def select_pages(pages: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:

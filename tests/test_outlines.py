@@ -60,6 +60,23 @@ def test_islands_over_stretches(spark):
         assert sorted(tuple(r)[1:] for r in pages.islands(d, ["k"], "n", stretch).collect()) == want
 
 
+def test_range_text_is_whole(spark):
+    """One text a key, in order, however many stretches its runs begin in."""
+    rng = random.Random(12)
+    ns = sorted(rng.sample(range(-50, 40_000), 3000)) + list(range(40_000, 70_000))
+    want, first = [], None
+    for a, b in zip(ns, [*ns[1:], None], strict=True):
+        first = a if first is None else first
+        if b != a + 1:
+            want.append(str(a) if a == first else f"{first}-{a}")
+            first = None
+    rows_ = [("k", n) for n in ns] + [("k", None), (None, 20_001), (None, 9), (None, 10), ("none", None)]
+    d = spark.createDataFrame(rows_, "k string, n long")
+    for stretch in (64, 10_000):
+        got = [(r.k, r.ranges) for r in pages.range_text(d, ["k"], "n", stretch).collect()]
+        assert len(got) == 3 and dict(got) == {"k": ", ".join(want), None: "9-10, 20001", "none": None}
+
+
 def test_picture_boxes(spark):
     scale = lambda w, h, x=0, y=0: [float(w), 0.0, 0.0, float(h), float(x), float(y)]
     turned = [0.0, 50.0, -80.0, 0.0, 200.0, 100.0]  # a quarter turn
