@@ -516,6 +516,7 @@ def test_passages_equal_every_pair(spark, monkeypatch, block, cell):
     """Passages of middle documents whose pieces others quote, frequent lines and passages, near and exact copies."""
     monkeypatch.setattr(passages, "BLOCK", block)
     monkeypatch.setattr(passages, "CELL", cell)
+    monkeypatch.setattr(passages, "UNIT", min(block, 64))
     rnd = random.Random(21)
     fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
     edited = lambda p, percent: [fresh(1)[0] if rnd.random() < percent / 100 else w for w in p]
