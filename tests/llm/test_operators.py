@@ -535,6 +535,48 @@ def test_passages_equal_every_pair(spark, monkeypatch, block, cell):
     assert got == every_pair(texts)
 
 
+def test_pairs_of_a_cell_equal_one_by_one():
+    """Near copies, short lines, repeated lines and words: what bounds settle, and that they settle most."""
+    rnd = random.Random(31)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    lines, base = [fresh(rnd.choice([14, 26, 40])) for _ in range(3)], fresh(200)
+
+    def edited(p):
+        p = [fresh(1)[0] if rnd.random() < 0.06 else w for w in p]
+        cut = rnd.randrange(len(p))
+        return p[:cut] + fresh(rnd.randrange(6)) + p[cut + rnd.randrange(4) :]
+
+    some = [lambda: edited(base), lambda: fresh(60) + rnd.choice(lines) + fresh(60), lambda: edited(rnd.choice(lines)) * rnd.randrange(1, 3), lambda: ["the"] * rnd.randrange(20, 90) + fresh(3) + ["of"] * rnd.randrange(20, 90)]
+    texts = [" ".join(w for _ in range(rnd.choice([1, 1, 2])) for w in rnd.choice(some)()) for _ in range(160)]
+    own = []
+    for i, t in enumerate(texts):
+        w, at = shingles.word_hashes([t])
+        h, _, pos, run, period = passages.seeds_of(w, at, 5, 12)
+        own.append((i % 2, i, i, np.array([j for j in range(len(texts)) if j % 2 == i % 2]), h.view(np.int64), pos.astype(np.int32), run.astype(np.int32), period.astype(np.int8), 1, t))
+    cell = passages.Cell(pd.DataFrame(own, columns=["cell", "doc_id", "unit", "partners", "h", "pos", "run", "period", "size", "text"]), 5, 12, 50, 80)
+    want, slow = {(int(cell.ids[a]), int(cell.ids[b]), *p) for a in range(160) for b in range(a + 1, 160) if cell.cell[a] == cell.cell[b] for p in cell.one_by_one(a, b)}, []
+    one_by_one = cell.one_by_one
+    cell.one_by_one = lambda a, b: slow.append(1) or one_by_one(a, b)
+    got = [(int(cell.ids[a]), int(cell.ids[b]), *p) for one, other, at in cell.compared() for a, b, p in zip(one.tolist(), other.tolist(), at.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    assert len(slow) < 0.3 * 2 * 80 * 79 / 2
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    """The steps before the result write what they need; their shuffle files don't add up on the disk."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.getAllBlocks())
+    files = lambda: {str(b.name()) for b in blocks() if str(b.name()).startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rnd = random.Random(32)
+    p = [f"w{rnd.randrange(10**7)}" for _ in range(70)]
+    d = docs(spark, [" ".join([f"x{i}", *p[: 50 + i]]) for i in range(12)])
+    setting, before = spark.conf.get(name), files()
+    result = passages.repeated_passages(d)
+    assert not files() - before and spark.conf.get(name) == setting
+    assert result.count() == 12
+
+
 def test_passages_of_repeated_ids(spark):
     rnd = random.Random(22)
     fresh = lambda n: " ".join(f"w{rnd.randrange(10**7)}" for _ in range(n))
