@@ -1,15 +1,20 @@
 """Tables and reading order from positioned text fragments.
 
 Rows (doc_id, page, frag_no, text, x, y, width, size, bold), y upwards, are grouped by window functions per page;
-only the walk along baselines, whose reference moves with the largest fragment, is a grouped Python function.
+only the walk along baselines, whose reference moves with the largest fragment, is a Python function over sorted pages.
 A page is the unit of work everywhere, so documents of any length spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 PAGE = ["doc_id", "page"]
 
@@ -17,31 +22,44 @@ PAGE = ["doc_id", "page"]
 def baselines(fragments: DataFrame, like: float = 0.3, unlike: float = 0.55) -> DataFrame:
     """Adds ``line``: fragments of like size share a line within ``like`` of it, those that differ by more than 15 percent
     (raised or lowered ones) within ``unlike`` of the larger one.  A line's height is that of its largest fragment;
-    the last eight lines are looked at, not beyond 2.5 sizes.  Fragments without text have none.  Exact, page by page."""
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["y", "x", "frag_no"], ascending=[False, True, True])
-        lines: list[list[float]] = []  # y, size of the largest
-        out = []
-        for y, size in zip(g["y"], g["size"], strict=True):
-            found = None
-            for i in range(len(lines) - 1, max(-1, len(lines) - 9), -1):
-                other, large, small = lines[i], max(size, lines[i][1]), min(size, lines[i][1])
-                if abs(other[0] - y) <= large * (unlike if small < 0.85 * large else like):
-                    found = i
-                    break
-                if other[0] - y > 2.5 * large:
-                    break
-            if found is None:
-                lines.append([y, size])
-                found = len(lines) - 1
-            elif size > lines[found][1]:
-                lines[found] = [y, size]
-            out.append(found)
-        return g.assign(line=out)
-
-    schema = ", ".join(f"{n} {t}" for n, t in fragments.dtypes) + ", line int"
-    return fragments.where("text <> ''").groupBy(*PAGE).applyInPandas(walk, schema)
+    the last eight lines are looked at, not beyond 2.5 sizes.  Fragments without text have none.  Exact: pages are walked one
+    after the other in sorted partitions, so that neither a small page costs a call nor a large one memory."""
+
+    names = fragments.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, n = deque(maxlen=8), 0  # y, size of the largest
+        for b in batches:
+            first, ys, sizes = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_first", "_y", "_size"))
+            out = []
+            for new, y, size in zip(first, ys, sizes, strict=True):
+                if new:
+                    lines.clear()
+                    n = 0
+                found = None
+                for i in range(1, len(lines) + 1):
+                    other, height = lines[-i]
+                    large, small = max(size, height), min(size, height)
+                    if abs(other - y) <= large * (unlike if small < 0.85 * large else like):
+                        found = i
+                        break
+                    if other - y > 2.5 * large:
+                        break
+                if found is None:
+                    lines.append((y, size))
+                    n, found = n + 1, 1
+                elif size > lines[-found][1]:
+                    lines[-found] = (y, size)
+                out.append(n - found)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int32())], [*names, "line"])
+
+    place = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in ("y", "x")]
+    order = [place[0].desc_nulls_last(), place[1].asc_nulls_last(), F.asc_nulls_last("frag_no")]
+    first = F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)) == 1
+    d = fragments.where("text <> ''").withColumns({"_y": place[0], "_size": F.col("size").cast("double"), "_first": first})
+    schema = StructType([*fragments.schema.fields, StructField("line", IntegerType())])
+    # sorted as by the window already; said again, as the walk relies on it
+    return d.sortWithinPartitions(*PAGE, *order).mapInArrow(walk, schema)
 
 
 def raw_cells(lined: DataFrame, gap: float = 0.6, space: float = 0.12) -> DataFrame:
@@ -64,11 +82,12 @@ def raw_cells(lined: DataFrame, gap: float = 0.6, space: float = 0.12) -> DataFr
     )
 
 
-def table_blocks(cells: DataFrame, reach: float = 3.2, bridge: float = 4.5) -> DataFrame:
-    """Adds ``block`` to the lines that make tables: runs of lines with two cells or more, close to each other
-    (``reach`` sizes); one line of a single cell between two such lines stays in, if these are at most ``bridge`` sizes apart."""
-    lines = cells.groupBy(*PAGE, "line").agg(F.count("*").alias("n"), F.max("y").alias("y"), F.max("size").alias("size"))
-    w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc())
+def _block_lines(cells: DataFrame, reach: float = 3.2, bridge: float = 4.5) -> DataFrame:
+    """The lines that make tables: PAGE, line, block, n and ``_cells``, the line's cells from left to right.  One row a line, so that nothing
+    is joined back."""
+    rest = ["x0", "cell", *(c for c in cells.columns if c not in (*PAGE, "line", "x0", "cell"))]
+    lines = cells.groupBy(*PAGE, "line").agg(F.count("*").alias("n"), F.max("y").alias("y"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct(*rest))).alias("_cells"))
+    w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc(), "line")
     d = lines.withColumn("_prev", F.lag(F.struct("n", "y", "size")).over(w)).withColumn("_next", F.lead(F.struct("n", "y")).over(w))
     large = F.greatest("size", "_prev.size")
     near = F.col("_prev.y") - F.col("y") <= large * reach
@@ -78,50 +97,64 @@ def table_blocks(cells: DataFrame, reach: float = 3.2, bridge: float = 4.5) -> D
     d = d.withColumn("_start", (F.col("_in") & (F.col("_far") | ~F.coalesce(F.lag("_in").over(w), F.lit(False)))).cast("int"))
     d = d.withColumn("block", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_in")
     rows = F.count_if(F.col("n") > 1).over(Window.partitionBy(*PAGE, "block"))
-    return cells.join(d.withColumn("_rows", rows).where("_rows >= 2").select(*PAGE, "line", "block"), [*PAGE, "line"])
+    return d.withColumn("_rows", rows).where("_rows >= 2").select(*PAGE, "line", "block", "n", "_cells")
 
 
-def table_columns(cells: DataFrame) -> DataFrame:
-    """Column ranges of each block, from the lines with its most frequent number of cells (the larger of equals);
-    ranges that overlap are fused."""
-    key = [*PAGE, "block"]
-    counts = cells.groupBy(*key, "line").agg(F.count("*").alias("n"))
-    usual = counts.groupBy(*key, "n").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("n", F.struct("c", "n")).alias("n"))
-    lines = counts.join(usual, [*key, "n"]).select(*key, "line")
-    w = Window.partitionBy(*key, "line").orderBy("x0")
-    d = cells.join(lines, [*key, "line"]).withColumn("_k", F.row_number().over(w))
-    ranges = d.groupBy(*key, "_k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    s = Window.partitionBy(*key).orderBy("x0", "x1")
-    ranges = ranges.withColumn("_far", F.max("x1").over(s.rowsBetween(Window.unboundedPreceding, -1)))
-    ranges = ranges.withColumn("col", F.sum(F.coalesce((F.col("x0") >= F.col("_far")).cast("int"), F.lit(1))).over(s.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return ranges.groupBy(*key, "col").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"))
-
-
-def assigned_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """Each cell with its first column and span: columns it overlaps by half of itself or 60 % of them, else the one
-    with the nearest centre."""
+def table_blocks(cells: DataFrame, reach: float = 3.2, bridge: float = 4.5) -> DataFrame:
+    """Adds ``block`` to the lines that make tables: runs of lines with two cells or more, close to each other
+    (``reach`` sizes); one line of a single cell between two such lines stays in, if these are at most ``bridge`` sizes apart."""
+    return _block_lines(cells, reach, bridge).select(*PAGE, "line", "block", F.inline("_cells")).select(*cells.columns, "block")
+
+
+def table_columns(lines: DataFrame) -> DataFrame:
+    """The cells of table lines (n, _cells) with ``cols``, the column ranges (c0, c1) of their block from left to right: taken from
+    the lines with its most frequent number of cells (the larger of equals); ranges that overlap are fused."""
     key = [*PAGE, "block"]
-    both = cells.join(columns, key)
-    shared = F.least("x1", "c1") - F.greatest("x0", "c0")
-    hit = (shared > 0.5 * (F.col("x1") - F.col("x0"))) | (shared > 0.6 * (F.col("c1") - F.col("c0")))
-    away = F.abs((F.col("x0") + F.col("x1") - F.col("c0") - F.col("c1")) / 2)
-    both = both.withColumn("_hit", hit).withColumn("_away", away)
-    return both.groupBy(*key, "line", "cell", "text", "bold", "y").agg(
-        F.coalesce(F.min(F.when(F.col("_hit"), F.col("col"))), F.min_by("col", "_away")).alias("col"),
-        F.greatest(F.count_if("_hit"), F.lit(1)).alias("span"),
-    )
+    block = Window.partitionBy(*key)
+    d = lines.withColumn("_c", F.count("*").over(Window.partitionBy(*key, "n"))).withColumn("_usual", F.max(F.struct("_c", "n")).over(block)["n"] == F.col("n"))
+    d = d.select(*key, "line", "_usual", F.posexplode("_cells").alias("_k", "_cell")).select(*key, "line", "_usual", "_k", "_cell.*")
+    at = Window.partitionBy(*key, "_usual", "_k")
+    edges = F.when(F.col("_usual"), F.struct(F.min("x0").over(at).alias("c0"), F.max("x1").over(at).alias("c1")))
+    d = d.withColumn("_range", edges).withColumn("row_no", F.dense_rank().over(block.orderBy(F.col("y").desc())) - 1)
+    d = d.withColumn("_ranges", F.collect_set("_range").over(block)).withColumn("_at", F.row_number().over(block.orderBy(F.col("y").desc())))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    fused = F.aggregate(
+        F.sort_array("_ranges"),
+        F.slice("_ranges", 1, 0),
+        lambda a, r: F.when((F.size(a) == 0) | (r.c0 >= F.array_max(F.transform(a, lambda c: c.c1))), F.concat(a, F.array(r))).otherwise(
+            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a).c0.alias("c0"), F.greatest(last(a).c1, r.c1).alias("c1"))))
+        ),
+    )
+    # fused at a block's first row alone
+    d = d.withColumn("cols", F.max(F.when(F.col("_at") == 1, fused)).over(block))
+    return d.drop("_usual", "_k", "_range", "_ranges", "_at")
+
+
+def assigned_cells(cells: DataFrame) -> DataFrame:
+    """Each cell with its first column and span: columns (``cols``) it overlaps by half of itself or 60 % of them, else the
+    one with the nearest centre."""
+    x0, x1 = F.col("x0"), F.col("x1")
+    shared = lambda c: F.least(x1, c.c1) - F.greatest(x0, c.c0)
+    hit = F.transform("cols", lambda c: (shared(c) > 0.5 * (x1 - x0)) | (shared(c) > 0.6 * (c.c1 - c.c0)))
+    away = F.transform("cols", lambda c: F.abs((x0 + x1 - c.c0 - c.c1) / 2))
+    d = cells.withColumn("_hit", hit)
+    first, nearest = F.array_position("_hit", True) - 1, F.array_position(away, F.array_min(away)) - 1
+    d = d.withColumns({"col": F.when(first >= 0, first).otherwise(nearest), "span": F.greatest(F.size(F.filter("_hit", lambda h: h)), F.lit(1)).cast("long")})
+    return d.drop("_hit", "cols")
 
 
 def tables(fragments: DataFrame) -> DataFrame:
     """doc_id, page, block, row_no, col, span, text, bold: the tables of positioned text; text set in columns (long
-    cells, or many that start in lower case) is left out."""
-    cells = table_blocks(raw_cells(baselines(fragments)))
+    cells, or many that start in lower case) is left out.
+
+    After the walk rows are dealt out once, by page; all that follows are windows inside a page, without a join."""
     key = [*PAGE, "block"]
-    prose = cells.groupBy(*key).agg(F.avg(F.col("text").rlike("^[a-zß-öø-ÿ]").cast("int")).alias("low"), F.avg((F.length("text") > 35).cast("int")).alias("long"))
-    cells = cells.join(prose.where("low < 0.4 and long < 0.6").select(*key), key)
-    out = assigned_cells(cells, table_columns(cells))
-    row = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("y").desc())) - 1
-    return out.withColumn("row_no", row).select(*key, "row_no", "col", "span", "text", "bold")
+    lined = baselines(fragments.select(*PAGE, "frag_no", "text", "x", "y", "width", "size", "bold"))
+    lines = _block_lines(raw_cells(lined.repartition(*PAGE)))
+    share = lambda test: F.sum(F.size(F.filter("_cells", test))).over(Window.partitionBy(*key)) / F.sum("n").over(Window.partitionBy(*key))
+    lines = lines.withColumn("_low", share(lambda c: c.text.rlike("^[a-zß-öø-ÿ]"))).withColumn("_long", share(lambda c: F.length(c.text) > 35))
+    out = assigned_cells(table_columns(lines.where("_low < 0.4 and _long < 0.6")))
+    return out.select(*key, "row_no", "col", "span", "text", "bold")
 
 
 def continued(blocks: DataFrame) -> DataFrame:

@@ -162,6 +162,30 @@ def test_baselines_by_size(spark):
     assert got["a"] == got["sup"] == got["c"] != got["b"] and "" not in got
 
 
+def test_pages_are_walked_without_a_call_each(spark):
+    """Pages that Arrow batches cut give the lines of a loop over each page; tables take one Python step and no join."""
+    rows = [(doc, pg, i, "t", float(i % 3 * 100), 500.0 - (i // 3) * 14 + (doc * i % 4), 5.0, 10.0 + doc % 3 * (i % 2), False) for doc in range(40) for pg in (1, 2) for i in range(doc % 9 + 1)]
+    f = spark.createDataFrame(rows, FRAGMENT)
+    want = {}
+    for doc, pg in {r[:2] for r in rows}:
+        lines = []
+        for _, _, i, _, _, y, _, size, _ in sorted((r for r in rows if r[:2] == (doc, pg)), key=lambda r: (-r[5], r[4], r[2])):
+            fits = lambda k: abs(lines[k][0] - y) <= max(size, lines[k][1]) * (0.55 if min(size, lines[k][1]) < 0.85 * max(size, lines[k][1]) else 0.3)  # noqa: B023, E731
+            k = next((k for k in range(len(lines) - 1, max(-1, len(lines) - 9), -1) if fits(k)), None)
+            if k is None:
+                lines.append((y, size))
+            elif size > lines[k][1]:
+                lines[k] = (y, size)
+            want[doc, pg, i] = len(lines) - 1 if k is None else k
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r.doc_id, r.page, r.frag_no): r.line for r in tables.baselines(f).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = tables.tables(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan and "Join" not in plan
+
+
 def test_far_rows_do_not_bridge(spark):
     row = lambda y: [(f"l{y}", 0, y, 20.0, 10.0), (f"r{y}", 100, y, 20.0, 10.0)]
     near = page(spark, *row(500), *row(484), ("one", 0, 468, 20.0, 10.0), *row(452), *row(436))
