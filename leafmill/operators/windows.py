@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def island_ids(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "island") -> DataFrame:
+def island_ids(df: DataFrame, keys: list[str], order: list[str | Column], starts: Column, out: str = "island") -> DataFrame:
     """Numbers runs: a row where ``starts`` (which may look at lag()) holds begins a new one."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -39,10 +39,11 @@ def peak_overlap(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals as one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
+    """Overlapping or touching intervals as one; an open end (null) comes after the others of its start."""
+    order = [F.asc_nulls_last(start), F.asc_nulls_last(end)]
+    w = Window.partitionBy(*keys).orderBy(*order)
     d = df.withColumn("_far", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = island_ids(d, keys, [start, end], F.col(start) > F.col("_far"))
+    d = island_ids(d, keys, order, F.col(start) > F.col("_far"))
     return d.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("island")
 
 
