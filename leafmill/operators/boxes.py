@@ -53,16 +53,27 @@ def repeated(rows: DataFrame, pages: DataFrame, doc: list[str], page: str, key:
     return on.join(n, doc).where(F.col("_on") >= F.greatest(F.lit(3), F.ceil(F.col("_pages") * 0.25))).select(*doc, key)
 
 
-def own_characters(fragments: DataFrame, pages: DataFrame, doc: list[str], page: str) -> DataFrame:
-    """``own`` and ``total`` characters of each page (height) from fragments (text, y): own ones are neither repeated over
-    the pages, nor a page number, nor in the outer tenth of the page.  A page without fragments has 0."""
-    f = fragments.select(*doc, page, F.trim("text").alias("text"), "y").where("text <> ''")
-    common = repeated(f, pages, doc, page, "text").withColumn("_common", F.lit(True))
-    f = f.join(pages.select(*doc, page, "height"), [*doc, page]).join(common, [*doc, "text"], "left")
-    own = F.col("_common").isNull() & ~text.page_number(F.col("text")) & F.col("y").between(F.col("height") * 0.1, F.col("height") * 0.9)
+def own_characters(pages: DataFrame, doc: list[str], page: str) -> DataFrame:
+    """``own`` and ``total`` characters of each page (height, fragments: array of text, y): own ones are neither repeated over
+    the pages, nor a page number, nor in the outer tenth of the page.  A page without fragments has 0.
+
+    Pages are dealt out once, whole and by document; its texts are counted and summed where they then are."""
+    inner = lambda f: F.coalesce(f.y.between(F.col("height") * 0.1, F.col("height") * 0.9), F.lit(False))
+    texts = lambda test: F.filter(F.transform(F.filter("fragments", test), lambda f: F.trim(f.text)), lambda t: t != "")
+    d = pages.select(*doc, page, texts(inner).alias("_in"), texts(lambda f: ~inner(f)).alias("_out")).repartition(*doc)
+    d = d.withColumn("_pages", F.size(F.collect_set(page).over(Window.partitionBy(*doc))))
+    side = lambda c, at: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("text"), F.lit(at).alias("at")))
     n = F.length("text").cast("long")
-    sums = f.groupBy(*doc, page).agg(F.sum(F.when(own, n).otherwise(0)).alias("own"), F.sum(n).alias("total"))
-    return pages.join(sums, [*doc, page], "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
+    d = d.select(*doc, page, "_pages", F.inline_outer(F.concat(side("_in", True), side("_out", False))))
+    d = d.groupBy(*doc, page, "_pages", "text").agg(F.sum(F.when(F.col("at"), n)).alias("_in"), F.sum(n).alias("_n"))
+    on = F.count("*").over(Window.partitionBy(*doc, "text"))
+    often = (F.col("_pages") >= 4) & (F.col("_on") >= F.greatest(F.lit(3), F.ceil(F.col("_pages") * 0.25)))
+    for k in doc:
+        often &= F.col(k).isNotNull()
+    # by its first and last letter most text can't be a page number; the whole test is dear
+    number = F.when(F.col("text").rlike(r"(?si)^(?=[-–—\s0-9ivxlcdmp]).*[0-9ivxlcdm][-–—\s]*$"), text.page_number(F.col("text"))).otherwise(False)
+    own = F.when((F.col("_in") > 0) & ~often & ~number, F.col("_in")).otherwise(0)
+    return d.withColumn("_on", on).groupBy(*doc, page).agg(F.sum(own).alias("own"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
 
 
 def worth_showing(boxes: DataFrame, pages: DataFrame, doc: list[str], page: str, key: str, whole: float = 0.6, most_text: int = 300) -> DataFrame:

@@ -78,10 +78,12 @@ SELECT doc, page, sum(CASE WHEN t <> '' AND c.doc IS NULL AND y BETWEEN 10 AND 9
 FROM {page_parts_sql("f", "t")} LEFT JOIN c USING (doc, t) GROUP BY 1, 2""")
 def own_characters(spark, sf_dir):
     """Ten words of a document to a page, strewn over its height."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("i", "text"))
-    f = d.select("doc", F.floor(F.col("i") / 10).alias("page"), "text", (F.col("i") * 37 % 100).cast("double").alias("y"))
-    p = f.select("doc", "page").distinct().withColumn("height", F.lit(100.0))
-    return boxes.own_characters(f, p, ["doc"], "page").select("doc", "page", F.col("own").cast("long").alias("own"), F.col("total").cast("long").alias("total"))
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.split("text", " ").alias("ws"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 10).cast("int")), lambda p: F.slice("ws", p * 10 + 1, F.lit(10)))
+    d = d.select("doc", F.posexplode(pages).alias("page", "ws"))
+    fragment = lambda t, i: F.struct(t.alias("text"), ((F.col("page") * 10 + i) * 37 % 100).cast("double").alias("y"))
+    p = d.select("doc", F.col("page").cast("long").alias("page"), F.lit(100.0).alias("height"), F.transform("ws", fragment).alias("fragments"))
+    return boxes.own_characters(p, ["doc"], "page").select("doc", "page", F.col("own").cast("long").alias("own"), F.col("total").cast("long").alias("total"))
 
 
 @query("upright_items", """

@@ -126,3 +126,25 @@ def test_heading_levels_equal_a_walk(spark):
 def test_chapter_words(spark):
     words = {"Chapter 1": True, " PARTE II": True, "Particle": False, "Índice": True, "A chapter": False, "": False}
     assert {t: one(spark, text.chapter_word(F.lit(t))) for t in words} == words
+
+
+def test_own_characters_of_whole_pages(spark):
+    """Against a loop; pages go through one shuffle, with nothing joined."""
+    words = ["the", "12", "page 3", "iv", "Iv of 9", "- 7 -", "5", "head", "", "  ", "civil", "dm!", "a b", None]
+    rows = [(doc, p, 100.0, [(words[((doc or 6) * 7 + p * k + k) % len(words)], float((p + k) * 23 % 100)) for k in range(((doc or 6) + p) % 6)]) for doc in (1, 2, 3, 4, 5, None) for p in range((doc or 4) * 2 - 1)]
+    d = spark.createDataFrame(rows, "doc long, page long, height double, fragments array<struct<text:string,y:double>>")
+    kept = [(doc, p, (t or "").strip(" "), y) for doc, p, _, fs in rows for t, y in fs if (t or "").strip(" ")]
+    pages, on, want = {}, {}, {}
+    for doc, p, _, _ in rows:
+        pages.setdefault(doc, set()).add(p)
+        want[doc, p] = [0, 0]
+    for doc, p, t, _ in kept:
+        on.setdefault((doc, t), set()).add(p)
+    for doc, p, t, y in kept:
+        often = doc is not None and len(pages[doc]) >= 4 and len(on[doc, t]) >= max(3, -(-len(pages[doc]) // 4))
+        want[doc, p][0] += len(t) if 10 <= y <= 90 and not often and t not in ("12", "page 3", "iv", "Iv of 9", "- 7 -", "5") else 0
+        want[doc, p][1] += len(t)
+    out = boxes.own_characters(d, ["doc"], "page")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {(r.doc, r.page): [r.own, r.total] for r in out.collect()} == want and any(0 < a < b for a, b in want.values())
