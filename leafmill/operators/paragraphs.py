@@ -23,10 +23,22 @@ def _order() -> WindowSpec:
     return Window.partitionBy(*PAGE).orderBy("line")
 
 
+def by_page(lines: DataFrame, of: DataFrame, how: str = "left") -> DataFrame:
+    """``lines`` with what ``of`` says of their document, joined by way of its pages: lines are dealt out by page, once, and
+    stay there."""
+    return lines.join(lines.select(*PAGE).distinct().join(of, "doc_id"), PAGE, how)
+
+
+def with_signs(lines: DataFrame) -> DataFrame:
+    """Adds ``signs``: what the rules ask of a line's text (blank, marked, entry, ends, upper), so that they don't move the text itself."""
+    t = F.col("text")
+    return lines.withColumn("signs", F.struct((F.trim(t) == "").alias("blank"), text.list_mark(t).isNotNull().alias("marked"), text.contents_line(t).alias("entry"), text.ends_sentence(t).alias("ends"), text.starts_upper(t).alias("upper")))
+
+
 def with_body(lines: DataFrame) -> DataFrame:
     """Adds ``body``: the half point that most characters of the document have (pictures aside); 11 without any."""
     size = stats.weighted_mode(lines.where("not picture"), DOC, "size", F.length("text"), 0.5).withColumnRenamed("mode", "_body")
-    return lines.join(size, "doc_id", "left").withColumn("body", F.coalesce("_body", F.lit(11.0))).drop("_body")
+    return by_page(lines, size).withColumn("body", F.coalesce("_body", F.lit(11.0))).drop("_body")
 
 
 def margins(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,8 +59,10 @@ def with_margins(lines: DataFrame) -> DataFrame:
     """Adds ``page_left``, ``page_right`` and ``left``, ``right`` (of the line's side if that has three lines, else the page's)."""
     d = lines.withColumn("_at", F.col("line"))
     page = margins(d, PAGE).select(*PAGE, F.col("left").alias("page_left"), F.col("right").alias("page_right"))
-    side = margins(d, [*PAGE, "side"]).where("n >= 3").select(*PAGE, "side", F.col("left").alias("_l"), F.col("right").alias("_r"))
-    d = d.join(page, PAGE, "left").join(side, [*PAGE, "side"], "left")
+    side = margins(d, [*PAGE, "side"]).where("n >= 3").groupBy(*PAGE).agg(F.collect_list(F.struct("side", F.col("left").alias("l"), F.col("right").alias("r"))).alias("_sides"))
+    d = d.join(page, PAGE, "left").join(side, PAGE, "left")
+    own = F.get(F.filter("_sides", lambda s: s.side == F.col("side")), F.lit(0))
+    d = d.withColumns({"_l": own["l"], "_r": own["r"]}).drop("_sides")
     return d.withColumn("left", F.coalesce("_l", "page_left")).withColumn("right", F.coalesce("_r", "page_right")).drop("_l", "_r", "_at")
 
 
@@ -66,7 +80,7 @@ def paragraph_signals(lines: DataFrame) -> DataFrame:
     # only the two columns have margins of their own here
     two = F.col("side").isin("I", "D")
     left, right = F.when(two, F.col("left")).otherwise(F.col("page_left")), F.when(two, F.col("right")).otherwise(F.col("page_right"))
-    indent = single & (F.col("x0") - F.col("page_left") > F.col("size") * 0.75) & text.list_mark(F.col("text")).isNull()
+    indent = single & (F.col("x0") - F.col("page_left") > F.col("size") * 0.75) & ~F.col("signs.marked")
     pair = F.coalesce(~F.col("_p.picture") & (F.col("_p.side") == F.col("side")) & (F.abs(F.col("_p.size") - F.col("body")) <= 0.6), F.lit(False))
     gap = pair & (F.col("_p.y") - F.col("y") > F.col("body") * (F.col("pitch") + 0.5))
     n = d.groupBy("doc_id").agg(*[F.count_if(c).alias(k) for k, c in (("total", single), ("full", single & (F.col("x1") >= right - (right - left) * 0.03)), ("indents", indent), ("pairs", pair), ("gaps", gap))])
@@ -74,21 +88,21 @@ def paragraph_signals(lines: DataFrame) -> DataFrame:
 
 
 def in_context(lines: DataFrame) -> DataFrame:
-    """Lines with body, pitch, margins and the document's signals."""
-    d = with_margins(with_body(lines))
+    """Lines with signs, body, pitch, margins and the document's signals."""
+    d = with_margins(with_body(with_signs(lines)))
     pitch = _lines.line_pitch(d.withColumn("size", F.when(~F.col("picture"), F.col("size"))), DOC)
-    d = d.join(pitch, "doc_id")
+    d = by_page(d, pitch, "inner")
     flags = paragraph_signals(d)
-    d = d.join(flags, "doc_id", "left")
+    d = by_page(d, flags)
     return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("spaced", "indented", "justified")})
 
 
 def paragraph_starts(lines: DataFrame) -> DataFrame:
     """Lines ``in_context`` with ``starts``: whether each begins a paragraph.  The first rule that applies decides."""
-    d = lines.withColumn("_p", F.lag(F.struct("text", "x0", "x1", "y", "size", "side", "mono", "picture")).over(_order()))
+    d = lines.withColumn("_p", F.lag(F.struct("signs", "x0", "x1", "y", "size", "side", "mono", "picture")).over(_order()))
     p = lambda c: F.col(f"_p.{c}")
     dy, large, wide = p("y") - F.col("y"), F.greatest("size", p("size")), F.col("right") - F.col("left")
-    code, was_code = F.col("mono") & (F.trim("text") != ""), p("mono") & (F.trim(p("text")) != "")
+    code, was_code = F.col("mono") & ~F.col("signs.blank"), p("mono") & ~p("signs.blank")
     indent, was_indent = F.col("x0") - F.col("left") > F.col("size") * 0.75, p("x0") - F.col("left") > p("size") * 0.75
     other = p("side") != F.col("side")
     # a heading over both columns whose second, shorter line falls into the left one
@@ -100,11 +114,11 @@ def paragraph_starts(lines: DataFrame) -> DataFrame:
         (other & ~goes_on, True),
         ((F.abs(F.col("size") - p("size")) > 0.7) & (large >= F.col("body") * 1.1), True),
         (dy > large * (F.col("pitch") + 0.5), True),
-        (text.list_mark(F.col("text")).isNotNull(), True),
-        (text.contents_line(p("text")) | text.contents_line(F.col("text")), True),
+        (F.col("signs.marked"), True),
+        (p("signs.entry") | F.col("signs.entry"), True),
         (indent & ~was_indent, True),
         (F.col("justified") & (wide > 0) & (p("x1") < F.col("right") - wide * 0.12) & (F.abs(p("size") - F.col("body")) <= 1), True),
-        (~F.col("spaced") & ~F.col("indented") & (wide > 0) & (p("x1") < F.col("right") - wide * 0.25) & text.ends_sentence(p("text")) & text.starts_upper(F.col("text")), True),
+        (~F.col("spaced") & ~F.col("indented") & (wide > 0) & (p("x1") < F.col("right") - wide * 0.25) & p("signs.ends") & F.col("signs.upper"), True),
     ]
     return d.withColumn("starts", F.coalesce(*[F.when(c, v) for c, v in rules], F.lit(False))).drop("_p")
 

@@ -1,5 +1,7 @@
 """Paragraphs, headings, breaks over pages and running lines on small pages with known answers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,13 @@ def test_numbers_at_an_end(spark):
 def test_shapes(spark, text, folio, bare):
     r = spark.range(1).select(paragraphs.folio_shape(F.lit(text)).alias("f"), paragraphs.without_number(F.lit(text)).alias("b")).first()
     assert (r.f, r.b) == (folio, bare)
+
+
+def test_texts_stay_where_they_are(spark):
+    """The rules ask for signs of a text; no shuffle of starts moves the text."""
+    rows = [line(f"line {i} of the page", 580 - 14 * i, page=p, doc=n) for n in (1, 2) for p in (0, 1) for i in range(6)]
+    d = paragraphs.paragraph_starts(paragraphs.in_context(frame(spark, rows))).select("doc_id", "page", "line", "starts")
+    plan = spark._jvm.PythonSQLUtils.explainString(d._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("text#" in x for x in moved)
+    assert {(r.doc_id, r.page) for r in d.where("starts").collect()} == {(n, p) for n in (1, 2) for p in (0, 1)}
